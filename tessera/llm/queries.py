@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc32_text, text_of
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
+from tessera.llm.packing import packed_pieces
 from tessera.llm.sharding import stratified_shards
+from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.session import table
 
 N_SHARDS = 24
@@ -37,6 +39,21 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(docs).select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), "copies", "copy")
 
 
+def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packed_pieces(docs, 1024)
+    return pieces.select(
+        "doc_id", F.col("piece_start").alias("start"), "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Simple-8b token files in doc_id order and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_token_files(write_token_files(docs), with_ids=False)
+
+
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +88,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_stratified_shards": op1_stratified_shards,
         "op3_poisson_mix": op3_poisson_mix,
+        "op4_concat_and_cut": op4_concat_and_cut,
+        "op8_simple8b_files": op8_simple8b_files,
         "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
     }
 
