@@ -11,6 +11,7 @@ from tessera.llm.common import crc32_text, text_of
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
 from tessera.llm.packing import packed_pieces
+from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sharding import stratified_shards
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.session import table
@@ -33,6 +34,13 @@ def op1_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over all documents; documents labelled as good are the trusted target."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(docs, trusted).drop("text")
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents at temperature 0.5, one row for each copy."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -87,6 +95,7 @@ FROM d
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_stratified_shards": op1_stratified_shards,
+        "op2_ngram_likelihood": op2_ngram_likelihood,
         "op3_poisson_mix": op3_poisson_mix,
         "op4_concat_and_cut": op4_concat_and_cut,
         "op8_simple8b_files": op8_simple8b_files,
