@@ -41,7 +41,7 @@ def stratified_shards(
     if totals["ids"] < n_rows:  # the text column is read for the order only where ids are missing
         key = F.coalesce(key, F.concat(F.lit("text:"), text_of(text)))
     stratum = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    rows = packed(docs, stratum=stratum, shuffle=seeded_hex(seed, key), tie=F.col(doc_id), body=text_of(text))
+    rows = packed(docs, stratum=stratum, shuffle=seeded_hex(seed, key), tie=F.col(doc_id), body=F.xxhash64(text_of(text)))
     digits = F.conv(F.substring("shuffle", 1, _DIGITS), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.floor(digits * n_buckets / F.lit(16**_DIGITS)).cast("long"))
     order = [F.col("shuffle"), F.col("tie"), F.col("body")]
