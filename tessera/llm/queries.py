@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.byte_cnn import quality_scores
 from tessera.llm.common import crc32_text, text_of
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import poisson_mix
@@ -56,6 +57,13 @@ def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by the byte-level network."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Simple-8b token files in doc_id order and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_likelihood": op2_ngram_likelihood,
         "op3_poisson_mix": op3_poisson_mix,
         "op4_concat_and_cut": op4_concat_and_cut,
+        "op5_byte_cnn": op5_byte_cnn,
         "op8_simple8b_files": op8_simple8b_files,
         "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
     }
