@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.byte_cnn import quality_scores
 from tessera.llm.common import crc32_text, text_of
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.lsh_forest import ngram_classes
 from tessera.llm.mixing import poisson_mix
 from tessera.llm.packing import packed_pieces
 from tessera.llm.quality_rules import quality_rules
@@ -70,6 +71,12 @@ def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs), with_ids=False)
 
 
+def op9_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents, with the number of links of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_classes(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_concat_and_cut": op4_concat_and_cut,
         "op5_byte_cnn": op5_byte_cnn,
         "op8_simple8b_files": op8_simple8b_files,
+        "op9_lsh_forest_join": op9_lsh_forest_join,
         "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
     }
 
