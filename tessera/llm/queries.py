@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.byte_cnn import quality_scores
 from tessera.llm.common import crc32_text, text_of
+from tessera.llm.compact_windows import near_passages
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.lsh_forest import ngram_classes
 from tessera.llm.mixing import poisson_mix
@@ -65,6 +66,11 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of all documents."""
+    return near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Simple-8b token files in doc_id order and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_poisson_mix": op3_poisson_mix,
         "op4_concat_and_cut": op4_concat_and_cut,
         "op5_byte_cnn": op5_byte_cnn,
+        "op7_compact_windows": op7_compact_windows,
         "op8_simple8b_files": op8_simple8b_files,
         "op9_lsh_forest_join": op9_lsh_forest_join,
         "op10_bloom_exact_dedup": op10_bloom_exact_dedup,
