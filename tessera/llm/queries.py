@@ -16,6 +16,7 @@ from tessera.llm.mixing import poisson_mix
 from tessera.llm.packing import packed_pieces
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.sharding import stratified_shards
+from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.session import table
 
@@ -66,6 +67,12 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings of all documents, and what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate passages of all documents."""
     return near_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -120,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_poisson_mix": op3_poisson_mix,
         "op4_concat_and_cut": op4_concat_and_cut,
         "op5_byte_cnn": op5_byte_cnn,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_compact_windows": op7_compact_windows,
         "op8_simple8b_files": op8_simple8b_files,
         "op9_lsh_forest_join": op9_lsh_forest_join,
