@@ -123,7 +123,9 @@ def backward(weights, layout: Layout, columns, state, error: np.ndarray) -> dict
     to_joined = to_hidden @ weights["hidden"].T
     doc = np.repeat(np.arange(len(layout.chunks)), layout.chunks)
     to_pooled = to_joined[doc, :FILTERS] / layout.chunks[doc][:, None]
-    to_pooled = to_pooled + to_joined[doc, FILTERS : 2 * FILTERS] * (pooled == most[doc])
+    top = pooled == most[doc]  # chunks share blocks, and so may share the maximum
+    shares = np.add.reduceat(top.astype(np.float32), layout.chunk_starts)
+    to_pooled = to_pooled + to_joined[doc, FILTERS : 2 * FILTERS] * top / shares[doc]
     to_pooled = to_pooled * (pooled > 0)
     grad["filter_bias"] = to_pooled.sum(axis=0)
     chunk, which = np.nonzero(to_pooled)
