@@ -45,10 +45,7 @@ def indices_to_mask(indices: Column, size: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lpad(F.hex(byte(k)), 2, "0")), "")
 
 
-@F.pandas_udf("binary")
-def float16_bytes(values: pd.Series) -> pd.Series:
-    """Float arrays as little-endian half floats: mantissas are cut off, subnormals become 0."""
-
+def _halves(values: pd.Series) -> pd.Series:
     def one(v):
         bits = np.asarray(v, dtype="<f4").view("<u4")
         sign, exponent, mantissa = (bits >> 16) & 0x8000, ((bits >> 23) & 0xFF).astype(np.int64) - 112, (bits >> 13) & 0x3FF
@@ -58,36 +55,41 @@ def float16_bytes(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else one(v))
 
 
-@F.pandas_udf("array<float>")
-def float16_values(data: pd.Series) -> pd.Series:
-    """Little-endian half floats as float arrays."""
+def float16_bytes(column: str | Column) -> Column:
+    """Float arrays as little-endian half floats: mantissas are cut off, subnormals become 0."""
+    return F.pandas_udf(_halves, "binary")(column)
+
+
+def _floats(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f2").astype(np.float32))
 
 
-def byte_shuffled(width: int):
-    """A function of binary columns: bytes of elements of ``width`` grouped by their place; a remainder becomes zeros."""
+def float16_values(column: str | Column) -> Column:
+    """Little-endian half floats as float arrays."""
+    return F.pandas_udf(_floats, "array<float>")(column)
+
+
+def _transposed(data: pd.Series, width: int, back: bool) -> pd.Series:
+    def one(b):
+        n = len(b) // width
+        body = np.frombuffer(b[: n * width], dtype=np.uint8).reshape((width, n) if back else (n, width))
+        return body.T.tobytes() + bytes(len(b) - n * width)
 
-    @F.pandas_udf("binary")
-    def shuffled(data: pd.Series) -> pd.Series:
-        def one(b):
-            n = len(b) // width
-            body = np.frombuffer(b[: n * width], dtype=np.uint8).reshape(n, width).T.tobytes()
-            return body + bytes(len(b) - n * width)
+    return data.map(lambda b: None if b is None else one(b))
 
-        return data.map(lambda b: None if b is None else one(b))
 
-    return shuffled
+def byte_shuffled(column: str | Column, width: int) -> Column:
+    """Bytes of elements of ``width`` grouped by their place; a remainder becomes zeros."""
+    return _shuffle(column, width, False)
 
 
-def byte_unshuffled(width: int):
+def byte_unshuffled(column: str | Column, width: int) -> Column:
     """The inverse of :func:`byte_shuffled` for whole elements."""
+    return _shuffle(column, width, True)
 
-    @F.pandas_udf("binary")
-    def restored(data: pd.Series) -> pd.Series:
-        def one(b):
-            n = len(b) // width
-            return np.frombuffer(b[: n * width], dtype=np.uint8).reshape(width, n).T.tobytes() + bytes(len(b) - n * width)
 
-        return data.map(lambda b: None if b is None else one(b))
+def _shuffle(column: str | Column, width: int, back: bool) -> Column:
+    def run(data: pd.Series) -> pd.Series:
+        return _transposed(data, width, back)
 
-    return restored
+    return F.pandas_udf(run, "binary")(column)
