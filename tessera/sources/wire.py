@@ -13,6 +13,7 @@ import datetime
 import gzip
 import json
 import struct
+import sys
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -319,6 +320,7 @@ _READERS[DECIMAL] = lambda d, _: _decimal(d)
 def decode(data: bytes, limits: Limits | None = None):
     """The value of one whole document of either generation; bytes after it are an error."""
     limits = limits or Limits()
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * limits.depth + 1000))
     if data[:3] != MAGIC:
         return _root(Decoder(data, limits, None))
     if len(data) < 4:
