@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import numeric
+from tessera.functions import canonical, numeric
 from tessera.operators import text as T
 from tessera.operators import values as V
 from tessera.plans.catalogue import query
@@ -138,3 +138,94 @@ def conversation_turns(spark, sf_dir):
 def decimal_sums(spark, sf_dir):
     price = F.col("o_totalprice").cast("decimal(18,2)")
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.sum(price).cast("string").alias("total"), F.max(price).cast("string").alias("most"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"name":"'), "event_type", F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit(',"nothing":null,"list":[true,"a b"]}'))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("doc"))
+
+
+CANON = "'{k=' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ' list=[t \"a b\"] name=' || event_type || ' nothing=_}'"
+
+
+@query("canonical_text", f"SELECT event_id, {CANON} AS text FROM events")
+def canonical_text(spark, sf_dir):
+    return _documents(spark, sf_dir).select("event_id", canonical.canonical_text("doc").alias("text"))
+
+
+@query("canonical_fingerprints", f"SELECT sha256({CANON}) AS fingerprint, count(*) AS n FROM events GROUP BY 1")
+def canonical_fingerprints(spark, sf_dir):
+    return _documents(spark, sf_dir).groupBy(canonical.fingerprint("doc").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("abbreviated_keys", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'p' WHEN 'click' THEN 'c' ELSE event_type END AS short FROM events")
+def abbreviated_keys(spark, sf_dir):
+    """A two-way dictionary as a map literal; names it does not know stay."""
+    known = F.create_map(*[F.lit(x) for x in ("purchase", "p", "click", "c")])
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(known, F.col("event_type")), F.col("event_type")).alias("short"))
+
+
+@query("allow_list", "SELECT event_id FROM events WHERE event_type IN ('click', 'purchase')")
+def allow_list(spark, sf_dir):
+    allowed = spark.createDataFrame([("click",), ("purchase",)], "event_type string")
+    return table(spark, sf_dir, "events").join(F.broadcast(allowed), "event_type", "left_semi").select("event_id")
+
+
+@query("label_filter", "SELECT n_nationkey, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def label_filter(spark, sf_dir):
+    labelled = table(spark, sf_dir, "customer").withColumn("labels", F.array("c_mktsegment"))
+    return labelled.where(F.array_contains("labels", "BUILDING")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pool_resolution", "SELECT o_orderkey, o_orderpriority AS value FROM orders")
+def pool_resolution(spark, sf_dir):
+    """References into a string pool and back: a reference without an entry would be lost and differ from the source."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    pool = T.string_pool(orders, "o_orderpriority", min_bytes=1).select("value", "slot")
+    coded = orders.join(F.broadcast(pool), F.col("o_orderpriority") == F.col("value")).select("o_orderkey", "slot")
+    return coded.join(F.broadcast(pool), "slot").select("o_orderkey", "value")
+
+
+@query("neighbours_of", "SELECT DISTINCT b.l_suppkey AS id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey WHERE a.l_suppkey = 1")
+def neighbours_of(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    mine = lines.where("l_suppkey = 1").select("l_orderkey")
+    return lines.join(mine, "l_orderkey", "left_semi").where("l_suppkey <> 1").select(F.col("l_suppkey").alias("id")).distinct()
+
+
+@query("rdf_terms", "SELECT n_nationkey, 'https://example.org/nation/' || n_nationkey AS subject, 'https://example.org/name' AS predicate, n_name AS object, 'literal' AS kind FROM nation")
+def rdf_terms(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        F.concat(F.lit("https://example.org/nation/"), F.col("n_nationkey").cast("string")).alias("subject"),
+        F.lit("https://example.org/name").alias("predicate"),
+        F.col("n_name").alias("object"),
+        F.lit("literal").alias("kind"),
+    )
+
+
+@query("cypher_statements", "SELECT n_nationkey, 'MERGE (n:Nation {id: $id}) SET n.name = $name' AS statement, to_json({'id': n_nationkey, 'name': n_name})::VARCHAR AS parameters FROM nation")
+def cypher_statements(spark, sf_dir):
+    parameters = F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.lit("MERGE (n:Nation {id: $id}) SET n.name = $name").alias("statement"), parameters.alias("parameters"))
+
+
+@query("node_table", "SELECT c_custkey AS id, c_nationkey AS type, count(*) OVER (PARTITION BY c_nationkey) AS type_size FROM customer")
+def node_table(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("type"), F.count(F.lit(1)).over(Window.partitionBy("c_nationkey")).alias("type_size")
+    )
+
+
+@query("dataset_counts", "SELECT type, n, CAST(sum(n) OVER (ORDER BY type) - n AS BIGINT) AS first_id FROM (SELECT c_nationkey AS type, count(*) AS n FROM customer GROUP BY 1)")
+def dataset_counts(spark, sf_dir):
+    """Contiguous id spaces of node types: a running sum over one row for each type."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("first_id", (F.sum("n").over(Window.orderBy("type")) - F.col("n")).cast("long"))
+
+
+@query("metadata_sections", "SELECT 'nodes' AS kind, 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'edges', 'orders', count(*) FROM orders UNION ALL SELECT 'features', 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'labels', 'labels', count(*) FROM labels")
+def metadata_sections(spark, sf_dir):
+    parts = [("nodes", "customer"), ("edges", "orders"), ("features", "embeddings"), ("labels", "labels")]
+    counts = [table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), F.lit(t).alias("name"), "n") for k, t in parts]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])

@@ -164,3 +164,15 @@ def test_entry_and_catalogue(spark):
     known, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(known) and "degree_anomalies" in known
     assert entry.entry(spark).count() > 0
+
+
+def test_canonical_text_is_one_for_equal_values():
+    from tessera.functions.canonical import canonical, number, of_json, word
+
+    text = '{"b":[1,2.50,"two words",null,true],"a":{"z":-0.0,"y":1e20},"a":{"y":1e-7,"t":"t"}}'
+    assert canonical(of_json(text)) == '{a={"t"="t" y=1e-07} b=[1 2.5 "two words" _ t]}'
+    assert canonical(of_json(text)) == canonical(of_json(text.replace(",", " , ")))
+    rows = [{"id": 1, "s": "a|b"}, {"id": 2}, {"s": None, "id": 3}]
+    assert canonical(rows) == '@tab _ rows=3 cols=2 [id s]\n|1|"a\\|b"|\n|2|_|\n|3|_|\n@end'
+    assert [number(x) for x in (1e6, 999999.5, -0.000123, 1.5e-7, 1234567.5)] == ["1e+06", "999999.5", "-0.000123", "1.5e-07", "1.2345675e+06"]
+    assert [word(x) for x in ("a/b-c.d", "9a", "", "null", "é_1", 'q"\u0007')] == ["a/b-c.d", '"9a"', '""', '"null"', "é_1", '"q\\"\\u0007"']
