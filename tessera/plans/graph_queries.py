@@ -191,6 +191,15 @@ def personalized_pagerank(spark, sf_dir):
     return ranked.select("id", F.round("score", 9).alias("score"))
 
 
+@query("gcn_fallback", _pagerank_sql(5, UNIFORM) + ", n AS (SELECT id, round(s, 9) AS s FROM r5), m AS (SELECT id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS c FROM n) SELECT id, CAST(floor(c * 6) AS BIGINT) AS class, round(c, 6) AS confidence FROM m")
+def gcn_fallback(spark, sf_dir):
+    """Classes without a model: PageRank scaled to [0, 1] and cut."""
+    from tessera.operators.retrieval import score_classes
+
+    ranked = G.pagerank(suppliers(spark, sf_dir), edges(spark, sf_dir), iterations=5, tolerance=0.0)
+    return score_classes(ranked.withColumn("score", F.round("score", 9)), 7).select("id", "class", F.round("confidence", 6).alias("confidence"))
+
+
 REACH = """, walk(id, source, distance) AS (SELECT id, id, 0 FROM v WHERE id IN ({sources})
     UNION SELECT e.dst, w.source, w.distance + 1 FROM walk w JOIN e ON e.src = w.id {where} AND w.distance < 8)"""
 

@@ -133,7 +133,22 @@ def score_classes(spark, sf_dir):
     return R.score_classes(vectors(spark, sf_dir).select("id", F.col("id").cast("double").alias("score")), 7).select("id", "class")
 
 
-@query("softmax_classes", "SELECT vec_id AS id, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS class, round(1 / list_sum(list_transform(embedding[1:4], lambda x: exp(x::DOUBLE - list_max(embedding[1:4])::DOUBLE))), 5) AS confidence FROM embeddings")
+NEIGHBOUR_SUM = "list_sum(list_transform({a}, lambda p: p::DOUBLE))"
+
+
+@query(
+    "gat_fallback",
+    f"""WITH {RING}, {RAW}, w AS (SELECT src, dst, CASE WHEN sum(raw) OVER w > 0 THEN raw / sum(raw) OVER w ELSE 1.0 / count(*) OVER w END AS weight FROM raw WINDOW w AS (PARTITION BY src)),
+    n AS (SELECT w.src, sum(w.weight * {NEIGHBOUR_SUM.format(a='e.embedding')}) AS total FROM w JOIN embeddings e ON e.vec_id = w.dst GROUP BY 1)
+    SELECT vec_id AS id, round(0.7 * (0.5 * {NEIGHBOUR_SUM.format(a='embedding')} + 0.5 * coalesce(n.total, 0)) + 0.3 * 100 / (1 + vec_id % 10), 3) AS score FROM embeddings LEFT JOIN n ON n.src = vec_id""",
+)
+def gat_fallback(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    ranks = v.select("id", (1.0 / (1 + F.col("id") % 10)).alias("score"))
+    return R.attention_fallback(ring(spark, sf_dir), v, ranks, 7).select("id", F.round("score", 3).alias("score"))
+
+
+@query("softmax_classes", "SELECT vec_id AS id, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS BIGINT) AS class, round(1 / list_sum(list_transform(embedding[1:4], lambda x: exp(x::DOUBLE - list_max(embedding[1:4])::DOUBLE))), 5) AS confidence FROM embeddings")
 def softmax_classes(spark, sf_dir):
     logits = vectors(spark, sf_dir).select("id", F.slice("vector", 1, 4).cast("array<double>").alias("logits"))
     return R.softmax_classes(logits, "logits").select("id", F.col("class"), F.round("confidence", 5).alias("confidence"))

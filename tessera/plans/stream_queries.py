@@ -57,7 +57,7 @@ TOOLS = {
 @query(
     "token_stream_validator",
     """WITH t AS (SELECT event_id AS stream_id, CASE event_id % 3 WHEN 0 THEN 'calculate' WHEN 1 THEN 'search' ELSE 'shell' END AS tool, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events)
-    SELECT stream_id, tool, CASE WHEN tool = 'shell' THEN 0 ELSE 2 END AS n_fields, tool <> 'shell' AND NOT (tool = 'calculate' AND (k > 49 OR event_type NOT IN ('click', 'view', 'purchase'))) AS valid, tool <> 'shell' AS complete FROM t""",
+    SELECT stream_id, tool, CAST(CASE WHEN tool = 'shell' THEN 0 ELSE 2 END AS BIGINT) AS n_fields, tool <> 'shell' AND NOT (tool = 'calculate' AND (k > 49 OR event_type NOT IN ('click', 'view', 'purchase'))) AS valid, tool <> 'shell' AS complete FROM t""",
 )
 def token_stream_validator(spark, sf_dir):
     tool = F.element_at(F.array(F.lit("calculate"), F.lit("search"), F.lit("shell")), (F.col("event_id") % 3 + 1).cast("int"))

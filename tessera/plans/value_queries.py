@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import canonical, numeric
+from tessera.functions import canonical, decimals, numeric
 from tessera.operators import text as T
 from tessera.operators import values as V
 from tessera.plans.catalogue import query
@@ -229,3 +229,25 @@ def metadata_sections(spark, sf_dir):
     parts = [("nodes", "customer"), ("edges", "orders"), ("features", "embeddings"), ("labels", "labels")]
     counts = [table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), F.lit(t).alias("name"), "n") for k, t in parts]
     return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])
+
+
+PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
+
+
+@query("decimal_arithmetic", f"SELECT o_orderkey, CAST({PRICE} + 1.25 AS VARCHAR) AS plus, CAST({PRICE} - 0.05 AS VARCHAR) AS minus, CAST({PRICE} * 2.5 AS VARCHAR) AS times, CASE WHEN {PRICE} < 100000 THEN -1 WHEN {PRICE} > 100000 THEN 1 ELSE 0 END AS cmp FROM orders")
+def decimal_arithmetic(spark, sf_dir):
+    text = F.concat(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("m"))
+    price = decimals.from_literal(text, 2).cast("decimal(18,2)")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        (price + F.lit("1.25").cast("decimal(3,2)")).cast("string").alias("plus"),
+        (price - F.lit("0.05").cast("decimal(3,2)")).cast("string").alias("minus"),
+        (price * F.lit("2.5").cast("decimal(2,1)")).cast("string").alias("times"),
+        decimals.compare(price, F.lit(100000).cast("decimal(18,2)")).alias("cmp"),
+    )
+
+
+@query("datetime_nanos", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 * 1000 + event_id % 1000 AS VARCHAR), 9, '0') || 'Z' AS text FROM events")
+def datetime_nanos(spark, sf_dir):
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    return table(spark, sf_dir, "events").select("event_id", decimals.rfc3339_of_nanos(nanos).alias("text"))
