@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -69,14 +71,25 @@ class Encoder:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
 
     def _part(self, part: str) -> bytes:
-        letters = part.encode().decode("latin-1").translate(_LETTERS)
-        ids = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u2").tobytes()
+        if part.isascii() and part.lstrip(" ").isalpha():
+            letters = part.replace(" ", _LETTERS[32])
+        else:
+            letters = part.encode().decode("latin-1").translate(_LETTERS)
+        ids = array("H", [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
         self.parts[part] = ids
         return ids
 
     def _plain(self, chunk: str) -> bytes:
         text = chunk if self.keeps_spaces else chunk.lower()
         parts = self.parts
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():  # letters, after a space or not, are one part
+            return parts.get(text) or self._part(text)
+        if word[:-1].isalpha() and word[-1] in ".,!?;:":
+            return (parts.get(text[:-1]) or self._part(text[:-1])) + (parts.get(word[-1]) or self._part(word[-1]))
         return b"".join([parts.get(p) or self._part(p) for p in self.pattern.findall(text)])
 
     def _add(self, chunks: list[str]) -> None:
