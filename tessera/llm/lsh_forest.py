@@ -86,13 +86,15 @@ def signature_table(docs: DataFrame, text: str, doc_id: str, length: int) -> Dat
 
 def _links(groups, threshold: float):
     """Verify the groups' candidates: (node, root, weight) for each node with links."""
-    for tree, rows in groups:
+    for tree, same, rows in groups:
         count = len(rows["node"])
         seen = np.array(rows["keys"], dtype=np.int64)
         sizes = np.array([len(s) // 8 for s in rows["shingles"]])
         side = np.array(rows["side"])
         copies = np.array(rows["copies"], dtype=np.int64)
-        left, right = (np.arange(count),) * 2 if side.min() == side.max() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        left, right = (np.arange(count),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(left) or not len(right):  # the other block is empty
+            continue
         small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
         wanted = small >= threshold * large - 1e-9
         if left is right:
@@ -249,12 +251,12 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "te
                     gid = (columns["key"][i], columns["low"][i], columns["high"][i])
                     if gid != current:
                         if rows is not None and len(rows["node"]) > 1:
-                            yield tree, rows
+                            yield tree, current[1] == current[2], rows
                         current, tree, rows = gid, columns["tree"][i], {k: [] for k in names}
                     for k in names:
                         rows[k].append(columns[k][i])
             if rows is not None and len(rows["node"]) > 1:
-                yield tree, rows
+                yield tree, current[1] == current[2], rows
 
         found = []
         for row in _links(groups(), threshold):
