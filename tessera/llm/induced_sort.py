@@ -44,7 +44,7 @@ class Queues:
             self.blocks.setdefault(symbol, []).append((at, len(positions)))
         else:
             self.held += size
-            self.blocks.setdefault(symbol, []).append((positions.copy(), prefixes.copy()))
+            self.blocks.setdefault(symbol, []).append((positions, prefixes))
 
     def read(self, block) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(block[0], np.ndarray):
@@ -53,6 +53,16 @@ class Queues:
         self.file.seek(at)
         return np.frombuffer(self.file.read(8 * n), dtype=np.int64), np.frombuffer(self.file.read(n), dtype=np.uint8)
 
+    def batch(self, symbol: int, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The blocks of a symbol from ``at`` on, joined up to a block's size, and where the next one begins."""
+        held, n, blocks = [], 0, self.blocks[symbol]
+        while at < len(blocks) and n < _BLOCK:
+            held.append(self.read(blocks[at]))
+            n, at = n + len(held[-1][0]), at + 1
+        if len(held) == 1:
+            return *held[0], at
+        return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), at
+
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
@@ -148,13 +158,13 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixe
     for symbol in used:
         at, last, fresh = 0, -1, True
         while at < len(up.blocks.get(symbol, ())):
-            positions, prefixes = up.read(up.blocks[symbol][at])
+            positions, prefixes, at = up.batch(symbol, at)
             if fresh:
                 prefixes = prefixes.copy()
                 prefixes[0] = 0
                 fresh = False
             rising.take(positions, prefixes)
-            last, at = int(positions[-1]), at + 1
+            last = int(positions[-1])
         a, b = edges[symbol], edges[symbol + 1]
         if b > a:
             prefixes = seed_prefixes[a:b].copy()
@@ -167,7 +177,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixe
     for symbol in reversed(used):
         mine, mine_prefixes, at, last, fresh = [], [], 0, -1, True
         while at < len(down.blocks.get(symbol, ())):
-            positions, prefixes = down.read(down.blocks[symbol][at])
+            positions, prefixes, at = down.batch(symbol, at)
             if fresh:
                 prefixes = prefixes.copy()
                 prefixes[0] = 0
@@ -175,7 +185,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixe
             falling.take(positions, prefixes)
             mine.append(positions)
             mine_prefixes.append(prefixes)
-            last, at = int(positions[-1]), at + 1
+            last = int(positions[-1])
         lower = [up.read(b) for b in up.blocks.pop(symbol, ())]
         if lower:
             positions = np.concatenate([x[0] for x in lower])
@@ -200,8 +210,14 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_prefixe
 def _sorted_in_memory(text: np.ndarray) -> np.ndarray:
     """Suffix order by doubling prefixes: for reduced strings that fit in memory."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
+    rank = text.astype(np.int64) + 1
+    bits, width = int(rank.max()).bit_length(), 1
+    while bits * 2 * width <= 62 and width < n:  # several symbols in one number to begin with
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - width] = rank[width:]
+        rank = rank << bits * width | after
+        width *= 2
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64) + 1
     while True:
         after = np.zeros(n, dtype=np.int64)
         after[: n - width] = rank[width:] if width < n else 0

@@ -70,7 +70,7 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 100-byte strings of all documents, and what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(docs, columns=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, packed, ship, text_of, write_table
+from tessera.llm.common import fresh, ship, text_of, write_table
 from tessera.llm.exact_dedup import filter_bits, slot_filter, with_membership
 from tessera.llm.compact_windows import _sliding
 from tessera.llm.induced_sort import suffix_order
@@ -201,9 +201,12 @@ def _span_batch(rows) -> pa.RecordBatch:
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
-def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans`` (removed byte runs).
 
+    ``columns`` names those of ``docs`` that are returned, all by default; others, such as a long text, then take
+    no part in the joins that bring the results together.
+
     Texts are UTF-8 bytes, null as empty; strings never cross documents and are judged on the input.  A
     string starts earlier in a smaller doc_id (null comes last; then by the text's MD5), or in
     the same document.  Of rows with equal texts all but the first lose all their bytes if they have
@@ -248,7 +251,14 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     kind = "array<struct<low:bigint,high:bigint>>"
     stripped = whole.dropDuplicates(["unit"]).mapInArrow(strip, f"u string, u_removed long, u_spans long, u_sha string, u_runs {kind}")
 
-    rows = packed(docs, id=F.col(doc_id).cast("long"), unit=F.md5(body.cast("binary")), n_bytes=F.octet_length(body).cast("long"), sha=F.sha2(body.cast("binary"), 256))
+    returned = F.struct(*[F.col(f"`{c}`") for c in docs.columns if columns is None or c in columns])
+    rows = docs.select(
+        returned.alias("row"),
+        F.col(doc_id).cast("long").alias("id"),
+        F.md5(body.cast("binary")).alias("unit"),
+        F.octet_length(body).cast("long").alias("n_bytes"),
+        F.sha2(body.cast("binary"), 256).alias("sha"),
+    )
     order = F.struct(F.col("id").isNull().alias("no_id"), "id")
     groups = rows.groupBy(F.col("unit").alias("g")).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first")).where("copies > 1")
     # of copies that agree in doc_id too, one is the first: they are numbered only where there are any
