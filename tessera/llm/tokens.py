@@ -5,7 +5,8 @@ ids of a text are the ids of its chunks, one after another.  Chunks repeat, and
 many times faster than the library; each distinct chunk still goes through the library: a chunk of
 plain Latin letters, digits and signs is split by the vocabulary's own pattern and its parts go to the
 library's model, any other chunk goes through the whole of the library.  A text with white space
-other than the space and the newline goes through the library whole.
+other than the space and the newline, or with the content of an added token (``<|endoftext|>``), goes
+through the library whole.
 """
 
 from __future__ import annotations
@@ -57,9 +58,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        # in any case of letters, which normalizers may change; a text too many in the library does no harm
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, contents)) or r"(?!)", re.IGNORECASE)
         self.keeps_spaces = keeps_spaces
         self.model = self.tokenizer.model
         self.pattern = _WITH_SPACES if keeps_spaces else _NO_SPACES
@@ -116,7 +119,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint16 bytes."""
-        split = [None if _ODD_SPACE.search(t) else self._chunks(t) for t in texts]
+        split = [None if _ODD_SPACE.search(t) or self.added.search(t) else self._chunks(t) for t in texts]
         wanted: set[str] = set()
         for chunks in split:
             if chunks is not None:
