@@ -5,21 +5,25 @@ of the whole raw corpus.  A document's score is the mean over its n-grams of the
 two; the verdict keeps a document whose score reaches a fixed threshold.  Plain counts of words,
 symbols, repeated lines and repeated word windows form the base rules.
 
-The corpus is read twice: counting sends ``N_BUCKETS`` sums a task through the shuffle, and scoring
-shuffles nothing: the ratios are one array of ``N_BUCKETS`` doubles.
+Counting sends one sum a bucket and task through the shuffle, and the texts that a bounded filter takes
+for trusted ones, which a join tells apart exactly; scoring shuffles nothing: the ratios are one array
+of a double a bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, packed, text_of
+from tessera.llm.exact_dedup import filter_bits, slot_filter, with_membership
 
-#: Buckets that n-grams are hashed to, and so the bound on what reaches every task.
+#: Buckets that n-grams of up to ``4 * N_BUCKETS`` documents are hashed to; twice as many for each four times the documents.
 N_BUCKETS = 1 << 14
-#: At most so many trusted documents make the target; of more, those with the least hashes.
-MAX_TRUSTED = 20_000
+#: Trusted documents that make the target: all of them.
+MAX_TRUSTED = math.inf
 #: Added to each bucket's count.
 SMOOTHING = 0.5
 #: Least mean log ratio of a document that is kept.
@@ -31,33 +35,45 @@ _TOKEN = rf"[{_SIGNS}]+|[^\x00-\x20{_SIGNS}]+"
 _SYMBOLS = "#*$%&|<>"
 
 
-def _buckets(tokens: str) -> Column:
-    """Buckets of the unigrams and bigrams of a column of tokens."""
+def bucket_count(n_docs: int) -> int:
+    """Buckets for a corpus: they grow with the root of its documents, as distinct words do with the text."""
+    count = N_BUCKETS
+    while n_docs * N_BUCKETS > 4 * count * count:
+        count *= 2
+    return count
+
+
+def _buckets(tokens: str, count: int) -> Column:
+    """Buckets, of ``count``, of the unigrams and bigrams of a column of tokens."""
     return F.expr(
-        f"concat(transform({tokens}, t -> pmod(xxhash64(t), {N_BUCKETS}L)),"
-        f" if(size({tokens}) > 1, transform(slice({tokens}, 2, size({tokens}) - 1), (t, i) -> pmod(xxhash64(get({tokens}, i), t), {N_BUCKETS}L)), array()))"
+        f"concat(transform({tokens}, t -> pmod(xxhash64(t), {count}L)),"
+        f" if(size({tokens}) > 1, transform(slice({tokens}, 2, size({tokens}) - 1), (t, i) -> pmod(xxhash64(get({tokens}, i), t), {count}L)), array()))"
     )
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row with ``ratios``: the log ratio of target to raw probability of each bucket.
+def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id", count: int = N_BUCKETS) -> DataFrame:
+    """One row with ``ratios``: the log ratio of target to raw probability of each of ``count`` buckets.
 
-    ``trusted`` names the target documents by ``doc_id``; the raw multinomial counts every document.
-    Without any trusted text all ratios are 0.
+    ``trusted`` names the target documents by ``doc_id``; the raw multinomial counts every document, the
+    target every trusted one.  Without any trusted text all ratios are 0.
     """
-    ids = trusted.select(F.col(doc_id).alias("trusted_id")).where(F.col("trusted_id").isNotNull()).distinct()
-    ids = ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(MAX_TRUSTED)
-    tokens = docs.select(F.col(doc_id).alias("id"), F.regexp_extract_all(text_of(text), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
-    marked = tokens.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left")  # MAX_TRUSTED rows at most
-    grams = marked.select(F.col("trusted_id").isNotNull().alias("target"), F.explode(_buckets("tokens")).alias("bucket"))
+    given = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).withColumn("print", F.xxhash64("id"))
+    ids = trusted.select(F.col(doc_id).cast(given.schema["id"].dataType).alias("trusted_id")).where("trusted_id is not null").distinct()
+    bits = filter_bits(ids.count())
+    given = with_membership(given, "print", slot_filter(ids.select(F.xxhash64("trusted_id").alias("h")), "h", bits, 1), bits, "maybe")
+    met = given.where("maybe").join(ids, F.col("id") == F.col("trusted_id"), "left")
+    marked = met.select(F.col("trusted_id").isNotNull().alias("target"), "text")
+    marked = marked.unionByName(given.where("not maybe").select(F.lit(False).alias("target"), "text"))
+    tokens = marked.select("target", F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+    grams = tokens.select("target", F.explode(_buckets("tokens", count)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target"))
-    every = docs.sparkSession.range(N_BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
+    every = docs.sparkSession.range(count).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
     listed = every.agg(
         F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b")
     )
     ratio = (
-        f"transform(b, x -> if(all_target = 0, 0D, ln((x.target + {SMOOTHING}D) / (all_target + {SMOOTHING * N_BUCKETS}D))"
-        f" - ln((x.raw + {SMOOTHING}D) / (all_raw + {SMOOTHING * N_BUCKETS}D))))"
+        f"transform(b, x -> if(all_target = 0, 0D, ln((x.target + {SMOOTHING}D) / (all_target + {SMOOTHING * count}D))"
+        f" - ln((x.raw + {SMOOTHING}D) / (all_raw + {SMOOTHING * count}D))))"
     )
     return listed.select(F.expr(ratio).alias("ratios"))
 
@@ -117,11 +133,12 @@ def quality_rules(
     verdicts.  Columns of ``docs`` named like the results are replaced.  An empty table stays empty.
     """
     docs = fresh(docs, *RESULTS)
-    ratios = log_ratios(docs, trusted, text, doc_id)
+    count = bucket_count(docs.count())
+    ratios = log_ratios(docs, trusted, text, doc_id, count)
     rows = packed(docs, body=text_of(text))
     rows = base_counts(rows, "body")
     rows = rows.withColumn("tokens", F.regexp_extract_all("body", F.lit(_TOKEN), F.lit(0)))
-    rows = rows.withColumn("ratios", ratios.scalar()).withColumn("grams", _buckets("tokens"))
+    rows = rows.withColumn("ratios", ratios.scalar()).withColumn("grams", _buckets("tokens", count))
     rows = rows.withColumn("total", F.expr("aggregate(grams, 0D, (s, b) -> s + get(ratios, cast(b as int)))"))
     rows = rows.withColumn("n_grams", F.size("grams").cast("long"))
     rows = rows.withColumn("score", F.when(F.col("n_grams") > 0, F.col("total") / F.col("n_grams")).otherwise(0.0))
