@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +67,36 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int = 1_000_000):
+    """Consecutive slices of a batch of about ``limit`` bytes of text, one row at least, each with its texts as bytes (null: none).
+
+    Only one slice's texts exist as Python objects at a time, whatever the batch holds.
+    """
+    held = batch.column(column)
+    through = np.cumsum(pc.fill_null(pc.binary_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = int(through[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(through, before + limit, side="right")))
+        part = batch.slice(begin, stop - begin)
+        yield part, [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
+        begin = stop
+
+
+def tidy(process):
+    """A function of Arrow batches that gives its memory back to the system when its task ends: workers are reused."""
+
+    def run(batches):
+        try:
+            yield from process(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

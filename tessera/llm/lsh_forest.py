@@ -1,14 +1,18 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts with the same set of word shingles are one node.  Each of ``TREES`` prefix tries orders nodes by
-a MinHash signature of ``DEPTH`` values; two nodes match in a tree as far as their prefixes agree.  The
-matched prefix is shortened, from the deepest, until pairs at the threshold are found with the target
-recall: a trie node at that length is a bucket, and its members are candidates.
-
-Buckets with the same members count once.  A bucket goes to tasks in blocks of bounded size, paired
-block by block, and its pairs are verified on whole shingle sets; a pair that meets in several
-buckets is verified in the first.  No pair leaves a task: each block gives, for a node, the links found
-and the root of its linked group.  Connected components of these stars are the classes.
+Texts with the same set of word shingles are one node.  A node has a signature string of ``DEPTH``
+levels in each of ``TREES`` prefix tries; the strings in order are the trie, and the nodes under one
+prefix stand together in it.  Nodes that share no prefix of the least useful length with any other
+drop out first.  The others descend: matched prefixes start at the deepest level and are shortened by
+one level at a time, and every candidate pair that a shortening adds is verified exactly.  From the
+similarities of the links found so far follows how many a length misses; shortening stops once the
+estimated recall reaches the target.
+
+Groups with the same members count once, over all tries and lengths.  A group goes to tasks in blocks
+of bounded size, paired block by block, and its pairs are verified on whole shingle sets; a pair that
+meets in several groups is verified in the first.  No pair leaves a task: each block gives, for a
+node, the links found and the root of its linked group.  Connected components of these stars are the
+classes.
 """
 
 from __future__ import annotations
@@ -17,78 +21,94 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, packed, ship, text_of, write_table
+from tessera.llm.common import fresh, packed, ship, text_of, text_slices, tidy, write_table
 from tessera.llm.exact_dedup import filter_bits, slot_filter, with_membership
 from tessera.llm.shingles import mix, shingle_sets
-from tessera.llm.tokens import small_slices
 
 TREES, DEPTH = 24, 6
+#: Bytes of a level in a signature string.
+LEVEL = 2
 THRESHOLD = 0.8
-#: Expected recall of pairs at the threshold, by which matched prefixes are shortened.
+#: Recall at which matched prefixes are shortened no further.
 TARGET_RECALL = 0.99999
-#: Nodes, and shingles in all, that one block of a bucket should hold.
+#: Nodes, and shingles in all, that one block of a group should hold.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1_000_000
 
 
-def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """Shorten the matched prefix from ``DEPTH`` until the forest's recall at the threshold reaches the target."""
+def meeting_odds(similarity, length: int):
+    """Probability that two sets of a similarity share a prefix of ``length`` in at least one trie."""
+    return 1 - (1 - similarity**length) ** TREES
+
+
+def least_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """Prefix length below which no shortening is needed: even pairs at the threshold meet with the target recall."""
     for length in range(DEPTH, 1, -1):
-        if 1 - (1 - threshold**length) ** TREES >= target:
+        if meeting_odds(threshold, length) >= target:
             return length
     return 1
 
 
-def tree_keys(values: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """Keys (texts x TREES) of signature prefixes; texts without shingles get zeros."""
-    keys = np.zeros((len(counts), TREES), dtype=np.uint64)
+def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Signature strings (texts x TREES * DEPTH levels); texts without shingles get zeros."""
+    levels = np.zeros((len(counts), TREES * DEPTH), dtype=f">u{LEVEL}")
     full = np.flatnonzero(counts)
     if not len(full):
-        return keys
+        return levels
     starts = (np.cumsum(counts) - counts)[full]
     odd = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
     flip = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) + np.uint64(1 << 40))
-    for tree in range(TREES):
-        key = np.full(len(full), np.uint64(tree + 1))
-        for level in range(length):
-            k = tree * DEPTH + level
-            least = np.minimum.reduceat((values ^ flip[k]) * odd[k], starts)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        keys[full, tree] = key
+    for k in range(TREES * DEPTH):
+        levels[full, k] = mix(np.minimum.reduceat((values ^ flip[k]) * odd[k], starts)) & np.uint64((1 << 8 * LEVEL) - 1)
+    return levels
+
+
+def prefix_keys(strings: list[bytes], length: int) -> np.ndarray:
+    """One number (texts x TREES) for the prefix of each signature string in each trie."""
+    levels = np.frombuffer(b"".join(strings), dtype=f">u{LEVEL}").reshape(len(strings), TREES, DEPTH).astype(np.uint64)
+    keys = np.zeros((len(strings), TREES), dtype=np.uint64)
+    for level in range(length):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + levels[:, :, level] + np.uint64(1))
     return keys
 
 
-def signature_table(docs: DataFrame, text: str, doc_id: str, length: int) -> DataFrame:
-    """(doc_id, text_hash, node, n, keys) for each row, written in the shared folder."""
+def prefix(length: int) -> Column:
+    """The prefix, of ``length`` levels, of the signature string of the trie ``tree``."""
+    return F.expr(f"substring(signature, tree * {DEPTH * LEVEL} + 1, {length * LEVEL})")
+
+
+def signature_table(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(id, text_hash, node, n, signature) for each row, written in the shared folder."""
     ship(docs.sparkSession)
 
+    @tidy
     def sign(batches):
         for batch in batches:
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for begin, stop in small_slices(texts, 1_000_000):
-                values, counts = shingle_sets(texts[begin:stop])
+            for part, texts in text_slices(batch, 2):
+                values, counts = shingle_sets(texts)
                 edges = np.concatenate([[0], np.cumsum(counts)])
-                keys = tree_keys(values, counts, length).view(np.int64)
+                strings = [row.tobytes() for row in signatures(values, counts)]
                 nodes = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                flat = pa.array(keys.ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TREES, dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, stop - begin), batch.column(1).slice(begin, stop - begin), pa.array(nodes, pa.binary()), pa.array(counts.astype(np.int64)), lists],
-                    names=["id", "text_hash", "node", "n", "keys"],
+                    [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(strings, pa.binary())],
+                    names=["id", "text_hash", "node", "n", "signature"],
                 )
 
     body = text_of(text)
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(body.cast("binary")).alias("text_hash"), body.alias("text"))
-    return write_table(given.mapInArrow(sign, "id long, text_hash string, node binary, n long, keys array<long>"), "signatures")
+    return write_table(given.mapInArrow(sign, "id long, text_hash string, node binary, n long, signature binary"), "signatures")
+
 
+def _links(groups, threshold: float, length: int):
+    """Verify the groups' candidates: (node, root, weight, found, expected) for each node with links.
 
-def _links(groups, threshold: float):
-    """Verify the groups' candidates: (node, root, weight) for each node with links."""
+    ``found`` counts a block's links and ``expected``, for each length, what links of their similarities
+    stand for; both are given with the block's first row alone.
+    """
     for tree, same, rows in groups:
         count = len(rows["node"])
-        seen = np.array(rows["keys"], dtype=np.int64)
         sizes = np.array([len(s) // 8 for s in rows["shingles"]])
         side = np.array(rows["side"])
         copies = np.array(rows["copies"], dtype=np.int64)
@@ -99,9 +119,13 @@ def _links(groups, threshold: float):
         wanted = small >= threshold * large - 1e-9
         if left is right:
             wanted &= np.triu(np.ones((count, count), dtype=bool), 1)
-        for t in range(tree):
-            a, b = seen[left, t][:, None], seen[right, t][None, :]
-            wanted &= ~((a == b) & (a != 0))
+        here = prefix_keys(rows["signature"], length)
+        for t in range(tree):  # met in an earlier trie
+            wanted &= here[left, t][:, None] != here[right, t][None, :]
+        if length < DEPTH:  # met at a longer prefix
+            deeper = prefix_keys(rows["signature"], length + 1)
+            for t in range(TREES):
+                wanted &= deeper[left, t][:, None] != deeper[right, t][None, :]
         if not wanted.any():
             continue
         sets = [np.frombuffer(s, dtype="<u8") for s in rows["shingles"]]
@@ -115,6 +139,9 @@ def _links(groups, threshold: float):
         linked = wanted & (shared >= threshold * total - 1e-9)
         if not linked.any():
             continue
+        similarity = shared[linked] / total[linked]
+        found = int(linked.sum())
+        expected = [float((1 / meeting_odds(similarity, k)).sum()) for k in range(1, DEPTH + 1)]
         weight = np.zeros(count, dtype=np.int64)
         np.add.at(weight, left, linked @ copies[right])
         np.add.at(weight, right, linked.T @ copies[left])
@@ -130,7 +157,8 @@ def _links(groups, threshold: float):
             if (root == before).all():
                 break
         for k in np.flatnonzero(weight):
-            yield rows["node"][k], rows["node"][root[k]], int(weight[k])
+            yield rows["node"][k], rows["node"][root[k]], int(weight[k]), found, expected
+            found, expected = 0, None
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -175,100 +203,144 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, text_hash, root, class_id, n_links, class_rows) for each row of ``docs``.
+def _groups(batches, names: tuple[str, ...]):
+    """(tree, one block with itself, rows) for each run of rows of one pair of blocks."""
+    current, tree, rows = None, 0, None
+    for batch in batches:
+        columns = {k: batch.column(k).to_pylist() for k in ("tree", "key", "low", "high", *names)}
+        for i in range(batch.num_rows):
+            gid = (columns["tree"][i], columns["key"][i], columns["low"][i], columns["high"][i])
+            if gid != current:
+                if rows is not None and len(rows["node"]) > 1:
+                    yield tree, current[2] == current[3], rows
+                current, tree, rows = gid, columns["tree"][i], {k: [] for k in names}
+            for k in names:
+                rows[k].append(columns[k][i])
+    if rows is not None and len(rows["node"]) > 1:
+        yield tree, current[2] == current[3], rows
+
+
+def _link_batch(rows) -> pa.RecordBatch:
+    kinds = {"node": pa.binary(), "root": pa.binary(), "weight": pa.int64(), "found": pa.int64(), "expected": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    Two rows are linked when the Jaccard similarity of their sets of 5-word shingles reaches the
-    threshold; a text of one to four words has one shingle of them all.  Rows with equal sets, those without
-    words among them, are linked.  ``class_id`` is the least doc_id of the connected class (null where
-    all are null), ``n_links`` the number of rows linked to this one, ``class_rows`` the rows of the class.
-    An empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    length = prefix_length(threshold)
-    signed = signature_table(docs, text, doc_id, length)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
-    nodes = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first, F.max("n").alias("n"), F.min("keys").alias("keys"))
-    nodes = write_table(nodes, "nodes")
 
-    entries = nodes.where("n > 0").select("node", "n", F.posexplode("keys").alias("tree", "key"))
-    mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.min("tree").alias("tree"), *mark).where("m > 1")
-    buckets = buckets.groupBy("m", "shingles", "mark1", "mark2").agg(F.min(F.struct("tree", "key")).alias("first"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    buckets = buckets.select(F.col("first.key").alias("key"), blocks.alias("blocks"))
-    members = entries.join(buckets, "key").groupBy("node").agg(F.collect_list(F.struct("tree", "key", "blocks")).alias("buckets"))  # TREES at most
-    members = write_table(members.join(nodes.select("node", "copies", "first"), "node"), "members")
+def _in_company(nodes: DataFrame, length: int) -> DataFrame:
+    """Nodes that share a prefix of ``length`` with another in some trie."""
+    entries = nodes.where("n > 0").select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature")
+    entries = entries.select("node", F.struct("tree", prefix(length).alias("key")).alias("place"))
+    shared = entries.groupBy("place").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("place")
+    return entries.join(shared, "place").select("node").distinct()
 
-    # the texts of members: a bounded filter keeps all other texts out of the shuffle
+
+def _shingled(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``wanted`` (node, copies, n, signature, first) with the shingles of each node's first text, written in the shared folder.
+
+    A bounded filter keeps all other texts out of the shuffle.
+    """
     body = text_of(text)
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.md5(body.cast("binary")).alias("text_hash"), body.alias("text"))
     given = given.withColumn("print", F.xxhash64("id", "text_hash"))
-    wanted = members.select("node", "copies", "buckets", F.col("first.id").alias("want_id"), F.col("first.text_hash").alias("want_hash"))
+    wanted = wanted.select("node", "copies", "n", "signature", F.col("first.id").alias("want_id"), F.col("first.text_hash").alias("want_hash"))
     bits = filter_bits(wanted.count())
     words = slot_filter(wanted.select(F.xxhash64("want_id", "want_hash").alias("h")), "h", bits, 1)
     given = with_membership(given, "print", words, bits, "maybe").where("maybe")
     held = given.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("id").eqNullSafe(F.col("want_id")))
-    held = held.dropDuplicates(["node"]).select("node", "copies", "buckets", "text")
+    held = held.dropDuplicates(["node"]).select("node", "copies", "n", "signature", "text")
 
+    @tidy
     def cut(batches):
         for batch in batches:
-            texts = [t.encode() for t in batch.column(3).to_pylist()]
-            for begin, stop in small_slices(texts, 1_000_000):
-                values, counts = shingle_sets(texts[begin:stop])
+            for part, texts in text_slices(batch, 4):
+                values, counts = shingle_sets(texts)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 sets = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(begin, stop - begin) for i in range(3)] + [pa.array(sets, pa.binary())], names=["node", "copies", "buckets", "shingles"]
-                )
-
-    kind = "array<struct<tree:int,key:bigint,blocks:int>>"
-    sets = held.mapInArrow(cut, f"node binary, copies long, buckets {kind}, shingles binary")
-    keys = F.expr(f"transform(sequence(0, {TREES - 1}), t -> coalesce(get(filter(buckets, b -> b.tree = t), 0).key, 0L))")
-    placed = sets.withColumn("keys", keys).withColumn("bucket", F.explode("buckets")).drop("buckets")
-    placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(node), bucket.blocks) as int)"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, bucket.blocks - 1)")))
-    placed = placed.select(
-        F.col("bucket.key").alias("key"),
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        F.col("bucket.tree").alias("tree"),
-        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
-        "node",
-        "copies",
-        "keys",
-        "shingles",
-    )
-
-    def verify(batches):
-        names = ("node", "copies", "keys", "shingles", "side")
-
-        def groups():
-            current, tree, rows = None, 0, None
-            for batch in batches:
-                columns = {k: batch.column(k).to_pylist() for k in ("key", "low", "high", "tree", *names)}
-                for i in range(batch.num_rows):
-                    gid = (columns["key"][i], columns["low"][i], columns["high"][i])
-                    if gid != current:
-                        if rows is not None and len(rows["node"]) > 1:
-                            yield tree, current[1] == current[2], rows
-                        current, tree, rows = gid, columns["tree"][i], {k: [] for k in names}
-                    for k in names:
-                        rows[k].append(columns[k][i])
-            if rows is not None and len(rows["node"]) > 1:
-                yield tree, current[1] == current[2], rows
-
-        found = []
-        for row in _links(groups(), threshold):
-            found.append(row)
-            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["node", "copies", "n", "signature", "shingles"])
+
+    return write_table(held.mapInArrow(cut, "node binary, copies long, n long, signature binary, shingles binary"), "sets")
+
+
+def _descend(sets: DataFrame, threshold: float, target: float, shortest: int) -> list[DataFrame]:
+    """Links (node, root, weight) of every length tried, from the deepest on until the estimated recall reaches the target."""
+    names = ("node", "copies", "signature", "shingles", "side")
+    every, done = [], None
+    for length in range(DEPTH, shortest - 1, -1):
+        entries = sets.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+        entries = entries.select("node", "n", "tree", prefix(length).alias("key"))
+        mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+        groups = entries.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), *mark).where("m > 1")
+        groups = groups.groupBy("m", "shingles", "mark1", "mark2").agg(F.min(F.struct("tree", "key")).alias("first"))
+        if done is not None:  # groups with the members of one that a longer prefix made
+            groups = groups.join(done, ["m", "shingles", "mark1", "mark2"], "left_anti")
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        groups = write_table(groups.select("m", "shingles", "mark1", "mark2", "first.tree", "first.key", blocks.alias("blocks")), "groups")
+        marks = groups.select("m", "shingles", "mark1", "mark2")
+        done = marks if done is None else done.unionByName(marks)
+
+        members = entries.join(groups.select("tree", "key", "blocks"), ["tree", "key"])
+        members = members.groupBy("node").agg(F.collect_list(F.struct("tree", "key", "blocks")).alias("groups"))  # TREES at most
+        placed = sets.join(members, "node").withColumn("group", F.explode("groups")).drop("groups")
+        placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(node), group.blocks) as int)"))
+        placed = placed.withColumn("other", F.explode(F.expr("sequence(0, group.blocks - 1)")))
+        placed = placed.select(
+            "group.tree",
+            "group.key",
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
+            "node",
+            "copies",
+            "signature",
+            "shingles",
+        )
+
+        def verify(batches, length=length):
+            found = []
+            for row in _links(_groups(batches, names), threshold, length):
+                found.append(row)
+                if len(found) >= 10_000:
+                    yield _link_batch(found)
+                    found = []
+            if found:
                 yield _link_batch(found)
-                found = []
-        if found:
-            yield _link_batch(found)
 
-    dealt = placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    links = write_table(dealt.mapInArrow(verify, "node binary, root binary, weight long"), "links")
+        dealt = placed.repartition("tree", "key", "low", "high").sortWithinPartitions("tree", "key", "low", "high", "node")
+        links = dealt.mapInArrow(tidy(verify), "node binary, root binary, weight long, found long, expected array<double>")
+        every.append(write_table(links, "links"))
+        stands = [F.sum(F.col("expected")[k - 1]).alias(f"e{k}") for k in range(1, DEPTH + 1)]
+        sums = [links.agg(F.sum("found").alias("found"), *stands).first() for links in every]
+        # a link at the threshold is counted besides those found, so that the estimate needs evidence
+        found = 1 + sum(s["found"] or 0 for s in sums)
+        expected = 1 / meeting_odds(threshold, length) + sum(s[f"e{length}"] or 0 for s in sums)
+        if found / expected >= target:
+            break
+    return [links.select("node", "root", "weight") for links in every]
+
+
+def ngram_classes(
+    docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", target: float = TARGET_RECALL
+) -> DataFrame:
+    """(id, text_hash, root, class_id, n_links, class_rows) for each row of ``docs``.
+
+    Two rows are linked when the Jaccard similarity of their sets of 5-word shingles reaches the
+    threshold; a text of one to four words has one shingle of them all.  Rows with equal sets, those without
+    words among them (null and empty texts), are linked.  ``class_id`` is the least doc_id of the connected
+    class (null where all are null), ``n_links`` the number of rows linked to this one, ``class_rows`` the
+    rows of the class.  Repeated rows are rows of one node.  Long texts are read whole, one slice of a batch
+    at a time.  No other column of ``docs`` is read, so none can clash.  doc_id is cast to long.  An empty
+    table gives an empty table.
+    """
+    signed = signature_table(docs, text, doc_id)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first")
+    nodes = signed.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first, F.max("n").alias("n"), F.min("signature").alias("signature"))
+    nodes = write_table(nodes, "nodes")
+    shortest = least_length(threshold, target)
+    company = write_table(_in_company(nodes, shortest), "company")
+    sets = _shingled(docs, nodes.join(company, "node"), text, doc_id)
+    rounds = _descend(sets, threshold, target, shortest)
+    links = rounds[0]
+    for more in rounds[1:]:
+        links = links.unionByName(more)
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     weights = links.groupBy("node").agg(F.sum("weight").alias("weight"))
@@ -280,15 +352,12 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "te
     return signed.select("id", "text_hash", "node").join(known, "node").select("id", "text_hash", "root", "class_id", "n_links", "class_rows")
 
 
-def _link_batch(rows) -> pa.RecordBatch:
-    node, root, weight = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(root, pa.binary()), pa.array(weight, pa.int64())], names=["node", "root", "weight"])
-
-
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, that with the least doc_id (null comes last), then text hash.
 
-    Rows in a class of their own pass straight through; the others meet their class by a shuffle.
+    Rows in a class of their own pass straight through; the others meet their class by a shuffle.  Null
+    and empty texts are one class; of repeated rows one stays; all columns of ``docs`` are kept as they are, whatever
+    their names.  An empty table gives an empty table.
     """
     classes = write_table(ngram_classes(docs, threshold, text, doc_id).where("class_rows > 1"), "classes")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")

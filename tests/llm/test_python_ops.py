@@ -25,7 +25,6 @@ def libraries():
     found = {}
     for name, spaces in KINDS:
         found[name] = Tokenizer.from_file(default_path(name)), Encoder(default_path(name), spaces)
-        found[name][0].encode_special_tokens = True
     return found
 
 
@@ -196,9 +195,9 @@ def test_near_dedup_keeps_one_of_each_class(spark):
 
 
 def test_recall_target_sets_the_prefix():
-    assert lsh_forest.prefix_length(0.8) <= lsh_forest.prefix_length(0.95) <= lsh_forest.DEPTH
-    k = lsh_forest.prefix_length(0.8)
-    assert 1 - (1 - 0.8**k) ** lsh_forest.TREES >= lsh_forest.TARGET_RECALL
+    assert lsh_forest.least_length(0.8) <= lsh_forest.least_length(0.95) <= lsh_forest.DEPTH
+    k = lsh_forest.least_length(0.8)
+    assert lsh_forest.meeting_odds(0.8, k) >= lsh_forest.TARGET_RECALL
 
 
 @settings(max_examples=60, deadline=None)
