@@ -61,6 +61,99 @@ class Extension:
     payload: bytes
 
 
+@dataclass
+class TensorRef:
+    """A tensor kept elsewhere: a store and a key in it."""
+
+    store: int
+    key: bytes
+
+
+@dataclass
+class Media:
+    """An image (format, width, height) or a sound (encoding, rate, channels) with its bytes."""
+
+    kind: str
+    about: tuple[int, int, int]
+    data: bytes
+
+
+@dataclass
+class Adjacency:
+    """Compressed rows of a graph; column indices are ``width`` bytes each."""
+
+    width: int
+    offsets: list[int]
+    indices: bytes
+
+
+@dataclass
+class RichText:
+    """Text with token ids and spans (start, end, kind)."""
+
+    text: str
+    tokens: list[int]
+    spans: list[tuple[int, int, int]]
+
+
+@dataclass
+class Delta:
+    """Changes to a base value: (op, field id, value), ops 1 set, 2 delete, 3 append."""
+
+    base: int
+    ops: list[tuple[int, int, object]]
+
+
+@dataclass
+class GraphNode:
+    """A node with labels and properties."""
+
+    id: str
+    labels: list[str]
+    props: dict
+
+
+@dataclass
+class GraphEdge:
+    """An edge with a type and properties."""
+
+    src: str
+    dst: str
+    type: str
+    props: dict
+
+
+@dataclass
+class Shard:
+    """Nodes, edges and metadata that stand for themselves; a batch of nodes or of edges is one without the rest."""
+
+    nodes: list[GraphNode]
+    edges: list[GraphEdge]
+    meta: dict
+    kind: str = "shard"
+
+
+class Bitmask(list):
+    """Booleans that are written one bit each, lowest first."""
+
+
+@dataclass(frozen=True)
+class Hint:
+    """What a column is expected to hold: type, shape, flags (1 required, 2 columnar, 4 fixed size, 8 sorted)."""
+
+    field: str
+    type: int
+    shape: tuple[int, ...] = ()
+    flags: int = 0
+
+    def total_bytes(self) -> int:
+        """Bytes of one value, -1 where they vary."""
+        size = HINT_BYTES.get(self.type, -1)
+        for dim in self.shape if size > 0 else ():
+            size *= dim
+        return size
+
+
 class Nanos(int):
     """Nanoseconds since 1970 in UTC."""
 
@@ -68,7 +161,13 @@ class Nanos(int):
 # Tags of the wire format.
 NULL, FALSE, TRUE, INT, DOUBLE, TEXT, ARRAY, OBJECT, BYTES, UINT, DECIMAL, TIME, UUID_, BIGINT, EXT, FLOAT = range(16)
 INTS, DOUBLES, FLOATS, TEXTS = 0x16, 0x17, 0x18, 0x19
-TENSOR, BITMASK = 0x20, 0x24
+TENSOR, TENSOR_REF, IMAGE, AUDIO, BITMASK = 0x20, 0x21, 0x22, 0x23, 0x24
+ADJACENCY, RICH_TEXT, DELTA, NODE, EDGE, NODES, EDGES, SHARD = 0x30, 0x31, 0x32, 0x35, 0x36, 0x37, 0x38, 0x39
+HAS_HINTS = 8
+#: Bytes of the hinted types int64, float64, uint64, datetime, uuid and float32.
+HINT_BYTES = {INT: 8, DOUBLE: 8, UINT: 8, TIME: 8, UUID_: 16, FLOAT: 4}
+# Numbers of the types in a fingerprint, and of the elements of tensors.
+TYPES = ("null", "bool", "int", "uint", "float", "decimal", "string", "bytes", "datetime", "uuid", "bigint", "array", "object", "tensor", "tensor_ref", "image", "audio", "adjacency", "rich_text", "delta", "node", "edge", "nodes", "edges", "shard", "bitmask", "ext")
 FIXINT, FIXARRAY, FIXMAP, FIXNEG, RESERVED = 0x40, 0xC0, 0xD0, 0xE0, 0xF0
 MAGIC = b"SJ\x02"
 COMPRESS_FROM = 256
@@ -132,6 +231,13 @@ class Encoder:
             return bytes([EXT]) + varint(v.kind) + _sized(v.payload)
         if isinstance(v, Tensor):
             return bytes([TENSOR, v.dtype, len(v.dims)]) + b"".join(map(varint, v.dims)) + _sized(v.data)
+        if isinstance(v, Bitmask):
+            bits = bytearray(-(-len(v) // 8))
+            for i, on in enumerate(v):
+                bits[i // 8] |= bool(on) << i % 8
+            return bytes([BITMASK]) + varint(len(v)) + bytes(bits)
+        if (write := _WRITERS.get(type(v))) is not None:
+            return write(self, v)
         if isinstance(v, (list, tuple)):
             if not new and (flat := self._typed(v)):
                 return flat
@@ -145,6 +251,44 @@ class Encoder:
             return head + b"".join(self._key(k) + self.value(x) for k, x in items)
         raise TypeError(f"no wire form for {type(v).__name__}")
 
+    def _props(self, props: dict) -> bytes:
+        return varint(len(props)) + b"".join(self._key(k) + self.value(x) for k, x in props.items())
+
+    def _node(self, n: GraphNode) -> bytes:
+        return _sized(n.id.encode()) + varint(len(n.labels)) + b"".join(_sized(x.encode()) for x in n.labels) + self._props(n.props)
+
+    def _edge(self, e: GraphEdge) -> bytes:
+        return b"".join(_sized(x.encode()) for x in (e.src, e.dst, e.type)) + self._props(e.props)
+
+    def _shard(self, v: Shard) -> bytes:
+        nodes = varint(len(v.nodes)) + b"".join(map(self._node, v.nodes))
+        edges = varint(len(v.edges)) + b"".join(map(self._edge, v.edges))
+        if v.kind != "shard":
+            return bytes([NODES]) + nodes if v.kind == "nodes" else bytes([EDGES]) + edges
+        return bytes([SHARD]) + nodes + edges + self._props(v.meta)
+
+    def _rich(self, v: RichText) -> bytes:
+        out = bytes([RICH_TEXT]) + _sized(v.text.encode()) + bytes([bool(v.tokens) | bool(v.spans) << 1])
+        if v.tokens:
+            out += varint(len(v.tokens)) + struct.pack(f"<{len(v.tokens)}i", *v.tokens)
+        if v.spans:
+            out += varint(len(v.spans)) + b"".join(varint(x) for span in v.spans for x in span)
+        return out
+
+    def _delta(self, v: Delta) -> bytes:
+        ops = b"".join(bytes([op]) + varint(at) + (self.value(x) if op != 2 else b"") for op, at, x in v.ops)
+        return bytes([DELTA]) + varint(v.base) + varint(len(v.ops)) + ops
+
+    @staticmethod
+    def _media(v: Media) -> bytes:
+        head = struct.pack("<BHH", *v.about) if v.kind == "image" else struct.pack("<BIB", *v.about)
+        return bytes([IMAGE if v.kind == "image" else AUDIO]) + head + _sized(v.data)
+
+    @staticmethod
+    def _adjacency(v: Adjacency) -> bytes:
+        edges = len(v.indices) // v.width
+        return bytes([ADJACENCY, v.width]) + varint(len(v.offsets) - 1) + varint(edges) + b"".join(map(varint, v.offsets)) + v.indices
+
     @staticmethod
     def _typed(v) -> bytes | None:
         """The compact form of a long enough array of one type (first generation)."""
@@ -159,23 +303,53 @@ class Encoder:
         return None
 
 
-def encode(v, generation: int = 2, drop_nulls: bool = False, sort_keys: bool = False, compression: str | None = None) -> bytes:
+_WRITERS = {
+    TensorRef: lambda e, v: bytes([TENSOR_REF, v.store]) + _sized(v.key),
+    Media: lambda e, v: e._media(v),
+    Adjacency: lambda e, v: e._adjacency(v),
+    RichText: lambda e, v: e._rich(v),
+    Delta: lambda e, v: e._delta(v),
+    GraphNode: lambda e, v: bytes([NODE]) + e._node(v),
+    GraphEdge: lambda e, v: bytes([EDGE]) + e._edge(v),
+    Shard: lambda e, v: e._shard(v),
+}
+
+
+def encode(
+    v, generation: int = 2, drop_nulls: bool = False, sort_keys: bool = False, compression: str | None = None, hints: tuple[Hint, ...] = ()
+) -> bytes:
     """One value as one document; with ``compression`` (gzip or zstd) if that is smaller and it has 256 bytes."""
+    return b"".join(encode_parts(v, generation, drop_nulls, sort_keys, compression, hints))
+
+
+def encode_parts(v, generation: int = 2, drop_nulls: bool = False, sort_keys: bool = False, compression: str | None = None, hints: tuple[Hint, ...] = ()):
+    """The pieces of a document in order, for writers that gather them without a copy."""
     if generation == 1:
-        return Encoder(None, drop_nulls, sort_keys).value(v)
+        return [Encoder(None, drop_nulls, sort_keys).value(v)]
     keys: dict[str, int] = {}
     root = Encoder(keys, drop_nulls, sort_keys).value(v)
-    body = varint(len(keys)) + b"".join(_sized(k.encode()) for k in keys) + root
-    if compression and len(body) >= COMPRESS_FROM:
-        if compression == "gzip":
-            small, kind = gzip.compress(body, mtime=0), 1
-        else:
-            import zstandard
-
-            small, kind = zstandard.compress(body), 2
+    about = b""
+    if hints:
+        about = varint(len(hints))
+        for h in hints:
+            about += _sized(h.field.encode()) + bytes([h.type]) + varint(len(h.shape)) + b"".join(map(varint, h.shape)) + bytes([h.flags])
+    names = varint(len(keys)) + b"".join(_sized(k.encode()) for k in keys)
+    flags = HAS_HINTS if hints else 0
+    if compression and len(about) + len(names) + len(root) >= COMPRESS_FROM:
+        body = about + names + root
+        small = compress(body, compression)
         if len(small) < len(body):
-            return MAGIC + bytes([1 | kind << 1]) + varint(len(body)) + small
-    return MAGIC + b"\0" + body
+            return [MAGIC, bytes([flags | 1 | (1 if compression == "gzip" else 2) << 1]), varint(len(body)), small]
+    return [MAGIC, bytes([flags]), about, names, root]
+
+
+def compress(data: bytes, compression: str) -> bytes:
+    """gzip or zstd."""
+    if compression == "gzip":
+        return gzip.compress(data, mtime=0)
+    import zstandard
+
+    return zstandard.compress(data)
 
 
 class Decoder:
@@ -265,10 +439,43 @@ def _tensor(d: Decoder, depth: int) -> Tensor:
     return Tensor(dtype, dims, d.blob())
 
 
-def _bitmask(d: Decoder, depth: int) -> list[bool]:
+def _bitmask(d: Decoder, depth: int) -> Bitmask:
     n = d.count()
     bits = d.take(-(-n // 8))
-    return [bool(bits[i // 8] >> i % 8 & 1) for i in range(n)]
+    return Bitmask(bool(bits[i // 8] >> i % 8 & 1) for i in range(n))
+
+
+def _node(d: Decoder, depth: int) -> GraphNode:
+    return GraphNode(d.text(), [d.text() for _ in range(d.count())], d.members(d.count(), depth))
+
+
+def _edge(d: Decoder, depth: int) -> GraphEdge:
+    return GraphEdge(d.text(), d.text(), d.text(), d.members(d.count(), depth))
+
+
+def _several(read):
+    return lambda d, depth: [read(d, depth + 1) for _ in range(d.count())]
+
+
+def _rich_text(d: Decoder, depth: int) -> RichText:
+    text, flags = d.text(), d.take(1)[0]
+    n = d.count() if flags & 1 else 0
+    tokens = list(struct.unpack(f"<{n}i", d.take(4 * n)))
+    spans = [(d.varint(), d.varint(), d.varint()) for _ in range(d.count() if flags & 2 else 0)]
+    return RichText(text, tokens, spans)
+
+
+def _delta(d: Decoder, depth: int) -> Delta:
+    base, ops = d.varint(), []
+    for _ in range(d.count()):
+        op = d.take(1)[0]
+        ops.append((op, d.varint(), d.value(depth + 1) if op != 2 else None))
+    return Delta(base, ops)
+
+
+def _adjacency(d: Decoder, depth: int) -> Adjacency:
+    width, nodes, edges = d.take(1)[0], d.count(), d.count()
+    return Adjacency(width, [d.varint() for _ in range(nodes + 1)], d.take(edges * width))
 
 
 def _packed(code: str, size: int):
@@ -305,6 +512,17 @@ _READERS = {
     TEXTS: lambda d, _: [d.text() for _ in range(d.count())],
     TENSOR: _tensor,
     BITMASK: _bitmask,
+    TENSOR_REF: lambda d, _: TensorRef(d.take(1)[0], d.blob()),
+    IMAGE: lambda d, _: Media("image", struct.unpack("<BHH", d.take(5)), d.blob()),
+    AUDIO: lambda d, _: Media("audio", struct.unpack("<BIB", d.take(6)), d.blob()),
+    ADJACENCY: _adjacency,
+    RICH_TEXT: _rich_text,
+    DELTA: _delta,
+    NODE: _node,
+    EDGE: _edge,
+    NODES: lambda d, depth: Shard(_several(_node)(d, depth), [], {}, "nodes"),
+    EDGES: lambda d, depth: Shard([], _several(_edge)(d, depth), {}, "edges"),
+    SHARD: lambda d, depth: Shard(_several(_node)(d, depth), _several(_edge)(d, depth), d.members(d.count(), depth)),
 }
 
 
@@ -317,12 +535,50 @@ def _decimal(d: Decoder) -> Decimal:
 _READERS[DECIMAL] = lambda d, _: _decimal(d)
 
 
+def _deep() -> None:
+    """Room for the deepest nesting that the limits allow by default."""
+    wanted = 4 * Limits().depth + 1000
+    if sys.getrecursionlimit() < wanted:
+        sys.setrecursionlimit(wanted)
+
+
 def decode(data: bytes, limits: Limits | None = None):
     """The value of one whole document of either generation; bytes after it are an error."""
+    return _opened(data, limits or Limits(), _root)
+
+
+def decode_prefix(data: bytes, limits: Limits | None = None, generation: int = 2) -> tuple[object, int]:
+    """The value of the document that a binary begins with, and the bytes it takes."""
     limits = limits or Limits()
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * limits.depth + 1000))
+    if generation == 1:
+        _deep()
+        d = Decoder(data, limits, None)
+        return d.value(), d.at
+
+    def first(d: Decoder):
+        return d.value(), 4 + d.at
+
+    if data[:3] == MAGIC and len(data) > 3 and data[3] & 1:  # a compressed document does not say where it ends
+        return decode(data, limits), len(data)
+    return _opened(data, limits, first)
+
+
+def hints_of(data: bytes, limits: Limits | None = None) -> list[Hint]:
+    """The column hints of a document."""
+    found: list[Hint] = []
+    _opened(data, limits or Limits(), lambda d: None, found)
+    return found
+
+
+def fields_of(data: bytes, limits: Limits | None = None) -> list[str]:
+    """The dictionary of a document, read without its value."""
+    return _opened(data, limits or Limits(), lambda d: d.keys or [])
+
+
+def _opened(data: bytes, limits: Limits, then, hints: list[Hint] | None = None):
+    _deep()
     if data[:3] != MAGIC:
-        return _root(Decoder(data, limits, None))
+        return then(Decoder(data, limits, None))
     if len(data) < 4:
         raise WireError("ERR_TRUNCATED")
     flags, body = data[3], data[4:]
@@ -331,29 +587,35 @@ def decode(data: bytes, limits: Limits | None = None):
         size = head.varint()
         if size > limits.decompressed:
             raise WireError("ERR_DECOMPRESSED_TOO_LARGE")
-        body = _expanded(body[head.at :], flags >> 1 & 3, size)
+        body = expand(body[head.at :], flags >> 1 & 3, size)
     d = Decoder(body, limits, [])
-    if flags & 8:
+    if flags & HAS_HINTS:
         for _ in range(d.count()):
-            d.text()
-            d.take(1)
-            for _ in range(d.count()):
-                d.varint()
-            d.take(1)
+            hint = Hint(d.text(), d.take(1)[0], tuple(d.varint() for _ in range(d.count())), d.take(1)[0])
+            if hints is not None:
+                hints.append(hint)
     d.keys = [d.text() for _ in range(d.count())]
-    return _root(d)
+    return then(d)
 
 
-def _expanded(data: bytes, kind: int, size: int) -> bytes:
-    if kind == 1:
-        out = zlib.decompressobj(31).decompress(data, size + 1)
-    elif kind == 2:
-        import zstandard
+def expand(data: bytes, kind: int, size: int) -> bytes:
+    """``size`` bytes from gzip (1) or zstd (2); damaged data is an error like any other."""
+    try:
+        if kind == 1:
+            out = zlib.decompressobj(31).decompress(data, size + 1)
+        elif kind == 2:
+            import zstandard
 
-        with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-            out = reader.read(size + 1)
-    else:
-        raise WireError("ERR_UNSUPPORTED_COMPRESSION")
+            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+                out = reader.read(size + 1)
+        else:
+            raise WireError("ERR_UNSUPPORTED_COMPRESSION")
+    except (zlib.error, EOFError) as e:
+        raise WireError("ERR_DECOMPRESS") from e
+    except Exception as e:  # zstandard is optional, and so is its error's name
+        if type(e).__name__ == "ZstdError":
+            raise WireError("ERR_DECOMPRESS") from e
+        raise
     if len(out) != size:
         raise WireError("ERR_DECOMPRESSED_MISMATCH")
     return out
@@ -386,9 +648,48 @@ def jsonable(v):
         return [jsonable(x) for x in v]
     if isinstance(v, dict):
         return {k: jsonable(x) for k, x in v.items()}
+    if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))):
+        return None
+    if isinstance(v, TensorRef):
+        return {"_type": "tensor_ref", "store": v.store, "key": base64.b64encode(v.key).decode()}
+    if isinstance(v, Media):
+        names = ("format", "width", "height") if v.kind == "image" else ("encoding", "rate", "channels")
+        return {"_type": v.kind, **dict(zip(names, v.about, strict=True)), "data": base64.b64encode(v.data).decode()}
+    if isinstance(v, Adjacency):
+        ids = [int.from_bytes(v.indices[i : i + v.width], "little") for i in range(0, len(v.indices), v.width)]
+        return {"_type": "adjacency", "offsets": v.offsets, "indices": ids}
+    if isinstance(v, RichText):
+        return {"_type": "rich_text", "text": v.text, "tokens": v.tokens, "spans": [list(x) for x in v.spans]}
+    if isinstance(v, Delta):
+        return {"_type": "delta", "base": v.base, "ops": [{"op": o, "field": f, "value": jsonable(x)} for o, f, x in v.ops]}
+    if isinstance(v, GraphNode):
+        return {"_type": "node", "id": v.id, "labels": v.labels, "props": jsonable(v.props)}
+    if isinstance(v, GraphEdge):
+        return {"_type": "edge", "from": v.src, "to": v.dst, "type": v.type, "props": jsonable(v.props)}
+    if isinstance(v, Shard):
+        return {"_type": v.kind, "nodes": jsonable(v.nodes), "edges": jsonable(v.edges), "meta": jsonable(v.meta)}
     return v
 
 
+def type_tag(v) -> int:
+    """The number of a value's type in a fingerprint."""
+    if v is None:
+        return 0
+    for kind, name in _TYPE_NAMES:
+        if isinstance(v, kind):
+            if name == "int" and not -(1 << 63) <= v < 1 << 63:
+                name = "uint" if 0 < v < 1 << 64 else "bigint"
+            return TYPES.index(v.kind if name in ("media", "shard") else name)
+    raise TypeError(f"no wire form for {type(v).__name__}")
+
+
+_TYPE_NAMES = (
+    (bool, "bool"), (Nanos, "datetime"), (int, "int"), (float, "float"), (Decimal, "decimal"), (str, "string"), ((bytes, bytearray), "bytes"), (uuid.UUID, "uuid"),
+    (Bitmask, "bitmask"), (list, "array"), (dict, "object"), (Tensor, "tensor"), (TensorRef, "tensor_ref"), (Media, "media"), (Adjacency, "adjacency"),
+    (RichText, "rich_text"), (Delta, "delta"), (GraphNode, "node"), (GraphEdge, "edge"), (Shard, "shard"), (Extension, "ext"),
+)
+
+
 def from_json(text: str):
     """JSON text as a value; integral floats within 2**53 become integers, the last of equal keys wins."""
 
@@ -400,21 +701,27 @@ def from_json(text: str):
 
 
 def _encoded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else encode(from_json(t)))
+    def one(t):
+        try:
+            return None if t is None else encode(from_json(t))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
 
 
 def _decoded(documents: pd.Series) -> pd.Series:
     def one(b):
         try:
             return None if b is None else json.dumps(jsonable(decode(b)), separators=(",", ":"), ensure_ascii=False)
-        except WireError:
+        except (WireError, RecursionError):
             return None
 
     return documents.map(one)
 
 
 def to_wire(column: str | Column) -> Column:
-    """JSON text as second-generation documents."""
+    """JSON text as second-generation documents; text that is no JSON becomes null."""
     return F.pandas_udf(_encoded, "binary")(column)
 
 
@@ -445,10 +752,20 @@ def sniff(content: Column) -> Column:
     return F.when(head != MAGIC.hex().upper(), "gen1").when(flags.bitwiseAND(F.lit(1)) == 1, "gen2_compressed").otherwise("gen2")
 
 
-def read_documents(spark: SparkSession, path: str, max_bytes: int = 1 << 28) -> DataFrame:
-    """(path, length, json) of files with one document each; larger files are left out by their length alone."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    return files.select("path", "length", wire_to_json("content").alias("json"))
+def read_documents(spark: SparkSession, path: str, max_bytes: int = 1 << 28, too_large: str = "fail") -> DataFrame:
+    """(path, length, json) of files with one document each.
+
+    A file above ``max_bytes`` fails the read before its bytes are decoded, or with ``too_large`` "null" has a null
+    document, or with "drop" is left out.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if too_large == "drop":
+        files = files.where(F.col("length") <= max_bytes)
+    fits = F.col("length") <= max_bytes
+    content = F.when(fits, F.col("content"))
+    if too_large == "fail":
+        content = F.when(fits, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("ERR_TOO_LARGE: "), "path")).cast("binary"))
+    return files.select("path", "length", wire_to_json(content).alias("json"))
 
 
 def write_length_prefixed(documents: list[bytes]) -> bytes:
@@ -456,23 +773,21 @@ def write_length_prefixed(documents: list[bytes]) -> bytes:
     return b"".join(struct.pack("<I", len(d)) + d for d in documents) + struct.pack("<I", 0)
 
 
+def split_length_prefixed(data: bytes):
+    """(payload) of the documents of a length-prefixed stream, as JSON text."""
+    at = 0
+    while at + 4 <= len(data):
+        n = struct.unpack_from("<I", data, at)[0]
+        if n == 0:
+            return
+        if at + 4 + n > len(data):
+            raise WireError("ERR_TRUNCATED")
+        yield {"json": json.dumps(jsonable(decode(bytes(data[at + 4 : at + 4 + n]))), separators=(",", ":"), ensure_ascii=False)}
+        at += 4 + n
+
+
 def read_length_prefixed(spark: SparkSession, path: str) -> DataFrame:
-    """(path, index, json) of the documents in files of length-prefixed streams."""
-
-    def parts(contents: pd.Series) -> pd.Series:
-        def one(b):
-            at, out = 0, []
-            while at + 4 <= len(b):
-                n = struct.unpack_from("<I", b, at)[0]
-                if n == 0:
-                    break
-                if at + 4 + n > len(b):
-                    raise WireError("ERR_TRUNCATED")
-                out.append(bytes(b[at + 4 : at + 4 + n]))
-                at += 4 + n
-            return out
-
-        return contents.map(one)
-
-    files = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.pandas_udf(parts, "array<binary>")("content")).alias("index", "document"))
-    return files.select("path", "index", wire_to_json("document").alias("json"))
+    """(path, index, json, error) of the documents in files of length-prefixed streams."""
+    from tessera.sources.frames import read_frames
+
+    return read_frames(spark, path, split_length_prefixed, "json string")
