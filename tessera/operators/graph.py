@@ -2,8 +2,10 @@
 
 Reshaping, degree and clustering operators are plain joins and aggregates.  Iterative operators
 have two plans with one result: joins over edges that are partitioned once and cut with ``checkpoint``
-each round, and, for graphs of at most ``ONE_TASK_EDGES`` edges, one task with numpy, which avoids the
-cost of a job for each round.  The edge count decides, and both plans are tested against each other.
+each round, and, for graphs of at most ``ONE_TASK_EDGES`` edges and as many nodes, one task with numpy,
+which avoids the cost of a job for each round.  The counts decide, and both plans are tested against
+each other.  Depth-first search and Louvain are sequential by definition: they have the one-task plan alone
+and raise beyond its bound.
 """
 
 from __future__ import annotations
@@ -13,24 +15,26 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges that one task may hold (16 bytes each in numpy).
+#: Edges, and nodes, that one task may hold (16 bytes each in numpy).
 ONE_TASK_EDGES = 2_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; a local folder only where none is set."""
+    """Cut lineage in the shared folder that the session names; a local folder only in local mode, where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def fits_one_task(edges: DataFrame) -> bool:
-    """Is the graph within the bound of the one-task plan?  Reads at most that many edges."""
-    return edges.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES
+def fits_one_task(nodes: DataFrame, edges: DataFrame) -> bool:
+    """Is the graph within the bound of the one-task plan?  Counts at most that many edges and nodes."""
+    return all(df.select(F.lit(1)).limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES for df in (edges, nodes))
 
 
 def in_one_task(nodes: DataFrame, edges: DataFrame, function: Callable, schema: str) -> DataFrame:
@@ -168,14 +172,38 @@ def find_peripheral(nodes: DataFrame, edges: DataFrame, max_degree: int = 1) ->
     return degrees(nodes, edges).where(F.col("out_degree") <= max_degree).select("id", "out_degree")
 
 
+def triangles(edges: DataFrame) -> DataFrame:
+    """(u, v, w, uv, vu, uw, wu, vw, wv): every triangle of the undirected graph once, with its edges each way counted.
+
+    Pairs are oriented from the end of lower degree, ties by id, so a node has at most the root of twice the
+    edges as out-neighbours, and a hub makes no more wedges than any other node.
+    """
+    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(
+        F.count_if(F.col("src") < F.col("dst")).alias("ab"), F.count_if(F.col("src") > F.col("dst")).alias("ba")
+    )
+    degree = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    pairs = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    oriented = pairs.select(
+        F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"),
+        F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi"),
+        F.when(up, F.col("db")).otherwise(F.col("da")).alias("d"),
+        F.when(up, F.col("ab")).otherwise(F.col("ba")).alias("out"),
+        F.when(up, F.col("ba")).otherwise(F.col("ab")).alias("back"),
+    )
+    one = oriented.select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.col("d").alias("dv"), F.col("out").alias("uv"), F.col("back").alias("vu"))
+    two = oriented.select(F.col("lo").alias("u"), F.col("hi").alias("w"), F.col("d").alias("dw"), F.col("out").alias("uw"), F.col("back").alias("wu"))
+    wedges = one.join(two, "u").where(F.struct("dv", "v") < F.struct("dw", "w")).drop("dv", "dw")
+    closing = oriented.select(F.col("lo").alias("v"), F.col("hi").alias("w"), F.col("out").alias("vw"), F.col("back").alias("wv"))
+    return wedges.join(closing, ["v", "w"]).select("u", "v", "w", "uv", "vu", "uw", "wu", "vw", "wv")
+
+
 def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, coefficient): halved directed links among distinct out-neighbours, doubled, over deg * (deg - 1)."""
-    out = edges.select("src", "dst").distinct()
-    left = out.select(F.col("src").alias("id"), F.col("dst").alias("x"))
-    right = out.select(F.col("src").alias("id"), F.col("dst").alias("y"))
-    links = left.join(right, "id").where("x <> y").join(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
-    links = links.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    d = degrees(nodes, edges).join(links, "id", "left")
+    corners = [("u", "uv", "uw", "vw", "wv"), ("v", "vu", "vw", "uw", "wu"), ("w", "wu", "wv", "uv", "vu")]
+    links = [F.struct(F.col(n).alias("id"), F.when((F.col(x) > 0) & (F.col(y) > 0), F.col(p) + F.col(q)).otherwise(0).alias("links")) for n, x, y, p, q in corners]
+    found = triangles(edges).select(F.explode(F.array(*links)).alias("c")).groupBy("c.id").agg(F.sum("c.links").alias("links"))
+    d = degrees(nodes, edges).join(found, "id", "left")
     k = F.col("out_degree")
     value = F.when(k > 1, F.floor(F.coalesce("links", F.lit(0)) / 2) * 2.0 / (k * (k - 1))).otherwise(0.0)
     return d.select("id", value.alias("coefficient"))
@@ -184,13 +212,14 @@ def local_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def global_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: triangles i < j < k over pairs of distinct out-neighbours (no factor of three)."""
     e = edges.select("src", "dst").distinct()
-    a = e.where("src < dst").select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    b = e.where("src < dst").select(F.col("src").alias("j"), F.col("dst").alias("k"))
-    c = e.select(F.col("src").alias("i"), F.col("dst").alias("k"))
-    triangles = a.join(b, "j").join(c, ["i", "k"]).agg(F.count(F.lit(1)).alias("triangles"))
+
+    def rising(x: str, y: str) -> Column:
+        return F.when(F.col(x) < F.col(y), F.col(x + y)).otherwise(F.col(y + x)) > 0
+
+    found = triangles(e).agg(F.count_if(rising("u", "v") & rising("u", "w") & rising("v", "w")).alias("triangles"))
     k = F.col("k")
     triplets = e.groupBy("src").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum((k * (k - 1) / 2).cast("long")), F.lit(0)).alias("triplets"))
-    return triangles.join(F.broadcast(triplets)).select(
+    return found.join(F.broadcast(triplets)).select(
         "triangles", "triplets", F.when(F.col("triplets") > 0, F.col("triangles") / F.col("triplets")).otherwise(0.0).alias("coefficient")
     )
 
@@ -210,7 +239,11 @@ def csr_row_pointers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """(src, neighbours): sorted neighbour lists of nodes with out-edges."""
+    """(src, neighbours): sorted neighbour lists of nodes with out-edges.
+
+    A list is one value by its meaning, so a hub's neighbours meet in one row; ``csr_row_pointers`` and the
+    edges themselves give the same without that.
+    """
     return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
 
 
@@ -224,7 +257,7 @@ def pagerank(
     """
     edges = edges.select("src", "dst")
     if one_task is None:
-        one_task = fits_one_task(edges)
+        one_task = fits_one_task(nodes, edges)
     start = nodes.select("id", F.lit(1.0).alias("jump")) if seeds is None else nodes.select("id").join(seeds.select("id").distinct().withColumn("s", F.lit(1.0)), "id", "left")
     if seeds is not None:
         start = start.select("id", F.coalesce("s", F.lit(0.0)).alias("jump"))
@@ -259,13 +292,15 @@ def pagerank(
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     base = checkpointed(start.select("id", share.alias("jump")).join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("score", F.col("jump")))
     known = edges.repartition("src").persist()
+    lost = base.where("out is null").agg(F.sum("score")).first()[0] or 0.0
     for _ in range(iterations):
-        lost = base.where("out is null").agg(F.sum("score")).first()[0] or 0.0
         sent = known.join(base.where("out is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("m")), "src")
         got = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("m").alias("m"))
         new = (1 - damping) * F.col("jump") + damping * (F.coalesce("m", F.lit(0.0)) + lost * F.col("jump"))
         base = checkpointed(base.join(got, "id", "left").select("id", "jump", "out", new.alias("score"), F.abs(new - F.col("score")).alias("moved")))
-        if (base.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+        now = base.agg(F.sum("moved").alias("moved"), F.sum(F.when(F.col("out").isNull(), F.col("score"))).alias("lost")).first()
+        lost = now["lost"] or 0.0
+        if (now["moved"] or 0.0) < tolerance:
             break
     known.unpersist()
     return base.select("id", "score")
@@ -304,6 +339,30 @@ def bfs(nodes: DataFrame, edges: DataFrame, sources: list[int]) -> DataFrame:
     )
 
 
+def bfs_tree(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
+    """(id, distance, parent): hops from ``source`` and the least node one hop nearer; -1 where it does not reach, and for its own parent."""
+    found = bfs(nodes, edges, [source]).select("id", "distance")
+    near = found.where("distance >= 0")
+    steps = edges.select("src", "dst").join(near.select(F.col("id").alias("src"), F.col("distance").alias("ds")), "src")
+    steps = steps.join(near.select(F.col("id").alias("dst"), F.col("distance").alias("dd")), "dst").where("dd = ds + 1")
+    parents = steps.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    return found.join(parents, "id", "left").select("id", "distance", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
+
+
+def bfs_path(nodes: DataFrame, edges: DataFrame, source: int, target: int) -> DataFrame:
+    """(step, id): a shortest path by hops, least nodes first; no rows where there is none, an error for a node that is not there."""
+    spark = nodes.sparkSession
+    if nodes.where(F.col("id").isin(source, target)).select("id").distinct().count() != len({source, target}):
+        raise ValueError("source and target must be nodes")
+    tree = checkpointed(bfs_tree(nodes, edges, source))
+    at = tree.where(F.col("id") == target).first()
+    path = []
+    while at is not None and at["distance"] >= 0:  # one lookup for each hop of one path
+        path.append((int(at["distance"]), int(at["id"])))
+        at = tree.where(F.col("id") == at["parent"]).first() if at["distance"] else None
+    return spark.createDataFrame(path, "step long, id long")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): weak components, named by their least node; large and small stars until nothing changes."""
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
@@ -369,7 +428,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, one_task: bool | None
     back within a colour is a component; the rest goes round again.
     """
     edges = edges.select("src", "dst").distinct()
-    if fits_one_task(edges) if one_task is None else one_task:
+    if fits_one_task(nodes, edges) if one_task is None else one_task:
         return in_one_task(nodes, edges, lambda ids, f: pd.DataFrame({"id": ids, "component": _tarjan(ids, f)}), "id long, component long")
     left, rest, found = checkpointed(nodes.select("id")), checkpointed(edges), None
     while not left.isEmpty():
@@ -405,6 +464,21 @@ def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return strong.join(sizes, "component").join(loops, "id", "left").where("size > 1 or loop").select("id", "component")
 
 
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, size, id): the members of each strong component of two or more nodes, and self-loops as cycles of one."""
+    strong = strong_components(nodes, edges)
+    sizes = strong.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    members = strong.join(sizes, "component")
+    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    alone = members.where("size = 1").join(loops, "id", "left_semi")
+    return members.where("size > 1").unionByName(alone).select("component", "size", "id")
+
+
+def is_acyclic(nodes: DataFrame, edges: DataFrame) -> bool:
+    """Has the graph no cycle?"""
+    return cycle_nodes(nodes, edges).isEmpty()
+
+
 def condensation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct edges between different strong components: (src, dst)."""
     strong = strong_components(nodes, edges)
@@ -448,7 +522,52 @@ def _levels(ids, frame):
     return (np.concatenate(order) if order else np.zeros(0, np.int64)), level, src, dst, begin
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _joined_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level) round by round: nodes without in-edges that are left, and then without these."""
+    left, rest, found, level = checkpointed(nodes.select("id")), checkpointed(_inside(nodes, edges)), None, 0
+    while not left.isEmpty():
+        ready = left.join(rest.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("long"))
+        ready = checkpointed(ready)
+        if ready.isEmpty():
+            raise NotAcyclic("the graph has a cycle")
+        found = ready if found is None else found.unionByName(ready)
+        left = checkpointed(left.join(ready.select("id"), "id", "left_anti"))
+        rest = checkpointed(rest.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+        level += 1
+    return found if found is not None else nodes.select("id", F.lit(0).cast("long").alias("level"))
+
+
+def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct edges between nodes."""
+    ids = nodes.select("id")
+    return edges.select("src", "dst").distinct().join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("src", "dst")
+
+
+def _ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the 0-based rank by ``order``: prefix sums over ranges, so that only a row for each range meets in one task."""
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_low"))
+    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_within", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).drop("_part", "_within", "_start")
+
+
+def _relaxed(start: DataFrame, edges: DataFrame, best: Callable, step: Column) -> DataFrame:
+    """(id, t): ``best`` (min or max) over all ways of ``step`` (an expression of t and the edge), until a round changes nothing."""
+    known = edges.repartition("src").persist()
+    now = changed = checkpointed(start)
+    while not changed.isEmpty():
+        sent = known.join(changed.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), step.alias("t"))
+        offered = sent.groupBy("id").agg(best("t").alias("new"))
+        merged = checkpointed(now.join(offered, "id", "full_outer").select("id", F.col("t").alias("old"), (F.greatest if best is F.max else F.least)("t", "new").alias("t")))
+        changed = merged.where(~F.col("t").eqNullSafe(F.col("old"))).select("id", "t")
+        now = merged.select("id", "t")
+    known.unpersist()
+    return now
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame, one_task: bool | None = None) -> DataFrame:
     """(id, level, position): longest distance from a source, and a topological position in (level, id) order."""
 
     def run(ids, frame):
@@ -457,18 +576,22 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         position[order] = np.arange(len(ids))
         return pd.DataFrame({"id": ids, "level": level, "position": position})
 
-    return _acyclic(nodes, edges, run, "id long, level long, position long")
+    if fits_one_task(nodes, edges) if one_task is None else one_task:
+        return in_one_task(nodes, edges, run, "id long, level long, position long")
+    return _ranked(_joined_levels(nodes, edges), ["level", "id"], "position").select("id", "level", "position")
 
 
-def _acyclic(nodes, edges, run, schema):
-    if not fits_one_task(edges):
-        raise ValueError(f"operators on acyclic graphs take at most {ONE_TASK_EDGES} edges")
+def _one_task_only(nodes, edges, run, schema):
+    if not fits_one_task(nodes, edges):
+        raise ValueError(f"a sequential operator takes at most {ONE_TASK_EDGES} edges and nodes")
     return in_one_task(nodes, edges, run, schema)
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def critical_path(nodes: DataFrame, edges: DataFrame, one_task: bool | None = None) -> DataFrame:
     """(id, earliest, latest, slack, critical) with node weights from ``nodes.weight`` (1 where there is none)."""
     weight = F.col("weight").cast("double") if "weight" in nodes.columns else F.lit(1.0)
+    if not (fits_one_task(nodes, edges) if one_task is None else one_task):
+        return _joined_critical_path(nodes.select("id", weight.alias("w")), edges)
     marks = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), (-1 - weight).alias("weight"))
     given = edges.select("src", "dst", F.lit(1.0).alias("weight")).unionByName(marks)
 
@@ -489,12 +612,29 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         slack = late - early
         return pd.DataFrame({"id": ids, "earliest": early, "latest": late, "slack": slack, "critical": slack <= 1e-9})
 
-    return _acyclic(nodes.select("id"), given, run, "id long, earliest double, latest double, slack double, critical boolean")
+    return in_one_task(nodes.select("id"), given, run, "id long, earliest double, latest double, slack double, critical boolean")
+
 
+def _joined_critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Longest ways from the sources and to the sinks by relaxation; a cycle is found first."""
+    _joined_levels(nodes, edges)
+    inner = _inside(nodes, edges)
+    costed = inner.join(nodes.select(F.col("id").alias("src"), F.col("w").alias("cs")), "src").join(nodes.select(F.col("id").alias("dst"), F.col("w").alias("cd")), "dst")
+    early = _relaxed(nodes.select("id", F.lit(0.0).alias("t")), costed, F.max, F.col("t") + F.col("cs"))
+    back = costed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cs").alias("own"))
+    tail = _relaxed(nodes.select("id", F.col("w").alias("t")), back, F.max, F.col("t") + F.col("own"))
+    whole = early.withColumnRenamed("t", "earliest").join(tail.withColumnRenamed("t", "tail"), "id")
+    total = whole.agg(F.max(F.col("earliest") + F.col("tail")).alias("total"))
+    latest = F.col("total") - F.col("tail")
+    slack = latest - F.col("earliest")
+    return whole.crossJoin(F.broadcast(total)).select("id", "earliest", latest.alias("latest"), slack.alias("slack"), (slack <= 1e-9).alias("critical"))  # one row of totals
 
-def dag_shortest_path(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
+
+def dag_shortest_path(nodes: DataFrame, edges: DataFrame, source: int, one_task: bool | None = None) -> DataFrame:
     """(id, cost, parent) from ``source``, where entering a node costs its ``weight``; null cost where unreachable."""
     weight = F.col("weight").cast("double") if "weight" in nodes.columns else F.lit(1.0)
+    if not (fits_one_task(nodes, edges) if one_task is None else one_task):
+        return _joined_shortest_path(nodes.select("id", weight.alias("w")), edges, source)
     marks = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), (-1 - weight).alias("weight"))
     given = edges.select("src", "dst", F.lit(1.0).alias("weight")).unionByName(marks)
 
@@ -515,10 +655,20 @@ def dag_shortest_path(nodes: DataFrame, edges: DataFrame, source: int) -> DataFr
                         cost[w], parent[w] = cost[v] + enter[w], ids[v]
         return pd.DataFrame({"id": ids, "cost": np.where(np.isfinite(cost), cost, np.nan), "parent": parent})
 
-    frame = _acyclic(nodes.select("id"), given, run, "id long, cost double, parent long")
+    frame = in_one_task(nodes.select("id"), given, run, "id long, cost double, parent long")
     return frame.withColumn("cost", F.when(F.isnan("cost"), None).otherwise(F.col("cost")))
 
 
+def _joined_shortest_path(nodes: DataFrame, edges: DataFrame, source: int) -> DataFrame:
+    """Least costs by relaxation; the parent is the least node over which a node's cost is reached."""
+    _joined_levels(nodes, edges)
+    costed = _inside(nodes, edges).join(nodes.select(F.col("id").alias("dst"), F.col("w").alias("enter")), "dst")
+    reached = _relaxed(nodes.where(F.col("id") == source).select("id", F.lit(0.0).alias("t")), costed, F.min, F.col("t") + F.col("enter"))
+    ends = costed.join(reached.select(F.col("id").alias("src"), F.col("t").alias("ts")), "src").join(reached.select(F.col("id").alias("dst"), F.col("t").alias("td")), "dst")
+    parents = ends.where(F.abs(F.col("ts") + F.col("enter") - F.col("td")) <= 1e-12).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    return nodes.join(reached, "id", "left").join(parents, "id", "left").select("id", F.col("t").alias("cost"), F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"))
+
+
 def depth_first(nodes: DataFrame, edges: DataFrame, source: int | None = None) -> DataFrame:
     """(id, parent, discovery, finish): depth-first search, neighbours by id; one clock counts both times.
 
@@ -548,7 +698,7 @@ def depth_first(nodes: DataFrame, edges: DataFrame, source: int | None = None) -
                     work.pop()
         return pd.DataFrame({"id": ids, "parent": parent, "discovery": found, "finish": finish})
 
-    return _acyclic(nodes, edges, run, "id long, parent long, discovery long, finish long")
+    return _one_task_only(nodes, edges, run, "id long, parent long, discovery long, finish long")
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes: int = 100) -> DataFrame:
@@ -584,7 +734,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, passes:
         np.minimum.at(least, comm, np.arange(n))
         return pd.DataFrame({"id": ids, "community": ids[least[comm]] if n else ids})
 
-    return _acyclic(nodes, edges, run, "id long, community long")
+    return _one_task_only(nodes, edges, run, "id long, community long")
 
 
 def community_stats(edges: DataFrame, communities: DataFrame) -> DataFrame:

@@ -366,3 +366,90 @@ def community_renumbered(spark, sf_dir):
     first = given.groupBy("community").agg(F.min("id").alias("first"))
     numbered = first.select("community", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
     return given.join(numbered, "community").select("id", "number")
+
+
+# suppliers in chains of seven: 0-1-..-6, 7-8-..-13 and so on
+CHAIN = "WITH v AS (SELECT s_suppkey AS id, s_suppkey // 7 AS g, s_suppkey % 7 AS k FROM supplier), n AS (SELECT g, count(*) AS size, min(id) AS low, max(id) AS high FROM v GROUP BY g)"
+
+
+def chains(spark: SparkSession, sf_dir: str, closed: bool = False, linked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in chains of seven; ``closed`` makes rings of them, ``linked`` leads from the first of one to the first of the next."""
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    group = F.floor(F.col("id") / 7)
+    last = nodes.groupBy(group.alias("g")).agg(F.max("id").alias("high"), F.min("id").alias("low"))
+    edges = nodes.where("id % 7 > 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    if closed:
+        edges = edges.unionByName(last.where("high > low").select(F.col("high").alias("src"), F.col("low").alias("dst")))
+    if linked:
+        edges = edges.unionByName(last.where("low > 0").select((F.col("low") - 7).alias("src"), F.col("low").alias("dst")))
+    return nodes, edges
+
+
+@query("chain_components", CHAIN + " SELECT id, low AS component FROM v JOIN n USING (g)")
+def chain_components(spark, sf_dir):
+    """Components of many hops."""
+    return G.connected_components(*chains(spark, sf_dir))
+
+
+@query("ring_components", CHAIN + " SELECT id, low AS component FROM v JOIN n USING (g)")
+def ring_components(spark, sf_dir):
+    """Rings that lead from one to the next: each is a strong component."""
+    return G.strong_components(*chains(spark, sf_dir, closed=True, linked=True))
+
+
+@query("ring_condensation", CHAIN + " SELECT a.low AS src, b.low AS dst FROM n a JOIN n b ON b.g = a.g + 1")
+def ring_condensation(spark, sf_dir):
+    return G.condensation(*chains(spark, sf_dir, closed=True, linked=True))
+
+
+@query("ring_cycles", CHAIN + " SELECT low AS component, size, id FROM v JOIN n USING (g) WHERE size > 1")
+def ring_cycles(spark, sf_dir):
+    """The members of every cycle."""
+    return G.cycles(*chains(spark, sf_dir, closed=True, linked=True))
+
+
+@query("ring_breaks", CHAIN + " SELECT low AS src, low + 1 AS dst FROM n WHERE size > 1")
+def ring_breaks(spark, sf_dir):
+    """One edge of each ring: the first one of its least node, as all have one inner edge."""
+    return G.break_cycles(*chains(spark, sf_dir, closed=True))
+
+
+@query("depth_first_chain", CHAIN + ", o AS (SELECT *, CAST(sum(size) OVER (ORDER BY g) - size AS BIGINT) AS before FROM n) SELECT id, CASE WHEN k = 0 THEN -1 ELSE id - 1 END AS parent, 2 * before + k AS discovery, 2 * before + 2 * size - 1 - k AS finish FROM v JOIN o USING (g)")
+def depth_first_chain(spark, sf_dir):
+    """Chains have closed forms of both times."""
+    return G.depth_first(*chains(spark, sf_dir))
+
+
+@query("louvain_cliques", "WITH v AS (SELECT s_suppkey AS id, s_suppkey // 5 AS g FROM supplier) SELECT id, min(id) OVER (PARTITION BY g) AS community FROM v")
+def louvain_cliques(spark, sf_dir):
+    """Separate cliques of five are the communities."""
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
+    group = F.floor(F.col("id") / 5).alias("g")
+    pairs = nodes.select(group, F.col("id").alias("src")).join(nodes.select(group, F.col("id").alias("dst")), "g").where("src <> dst")
+    return G.louvain(nodes, pairs.select("src", "dst"))
+
+
+@query("bfs_parents", CHAIN + " SELECT id, CASE WHEN g = 0 THEN k ELSE -1 END AS distance, CASE WHEN g = 0 AND k > 0 THEN id - 1 ELSE -1 END AS parent FROM v")
+def bfs_parents(spark, sf_dir):
+    return G.bfs_tree(*chains(spark, sf_dir), 0)
+
+
+@query("bfs_path", "SELECT i AS step, i AS id FROM range(0, 7) t(i)")
+def bfs_path(spark, sf_dir):
+    return G.bfs_path(*chains(spark, sf_dir), 0, 6)
+
+
+@query("levels_joined", CHAIN + ", l AS (SELECT id, k AS level FROM v) SELECT id, level, row_number() OVER (ORDER BY level, id) - 1 AS position FROM l")
+def levels_joined(spark, sf_dir):
+    """Topological levels by joins: no task holds the graph."""
+    return G.topological_levels(*chains(spark, sf_dir), one_task=False)
+
+
+@query("critical_path_joined", CHAIN + ", t AS (SELECT *, (SELECT CAST(max(size) AS DOUBLE) FROM n) AS total FROM v JOIN n USING (g)) SELECT id, CAST(k AS DOUBLE) AS earliest, total - (size - k) AS latest, total - size AS slack, total = size AS critical FROM t")
+def critical_path_joined(spark, sf_dir):
+    return G.critical_path(*chains(spark, sf_dir), one_task=False)
+
+
+@query("shortest_path_joined", CHAIN + " SELECT id, CASE WHEN g = 0 THEN CAST(k AS DOUBLE) END AS cost, CASE WHEN g = 0 AND k > 0 THEN id - 1 ELSE -1 END AS parent FROM v")
+def shortest_path_joined(spark, sf_dir):
+    return G.dag_shortest_path(*chains(spark, sf_dir), 0, one_task=False)
