@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("graph_queries", "ordered_queries", "retrieval_queries", "evolve_queries", "value_queries", "stream_queries", "codec_queries", "source_queries")
+_MODULES = ("graph_queries", "ordered_queries", "retrieval_queries", "evolve_queries", "value_queries", "stream_queries", "codec_queries", "source_queries", "model_queries")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

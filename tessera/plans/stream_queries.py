@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,12 @@ from tessera.streaming import validator as SV
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into Parquet in the shared folder, and read it."""
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tessera-streams'}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        shared = tempfile.mkdtemp(prefix="tessera-streams-")
+    base = f"{shared}/stream-{uuid.uuid4().hex}"
     sink = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
     running = sink.trigger(availableNow=True).start()
     running.awaitTermination()

@@ -382,3 +382,60 @@ def to_torch(d: Dataset, device: str | None = None) -> dict:
         return torch.as_tensor(x, device=device)
 
     return moved(to_numpy(d))
+
+
+# --- shards ---
+
+
+def graph_shards(nodes: DataFrame, edges: DataFrame, n_shards: int, meta: dict | None = None) -> DataFrame:
+    """(shard, content): nodes (id, labels, props) and edges (src, dst, type, props) in documents that stand for themselves.
+
+    An edge lies with its source; props are JSON objects or null.  A shard is one document, built where its rows meet.
+    """
+
+    def part(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(n_shards)).cast("int").alias("shard")
+
+    left = nodes.select(part("id"), F.col("id").cast("string").alias("id"), "labels", "props")
+    right = edges.select(part("src"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", "props")
+
+    def build(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        members = [wire.GraphNode(r.id, list(r.labels), wire.from_json(r.props) if isinstance(r.props, str) else {}) for r in a.sort_values("id").itertuples()]
+        links = [wire.GraphEdge(r.src, r.dst, r.type, wire.from_json(r.props) if isinstance(r.props, str) else {}) for r in b.sort_values(["src", "dst"]).itertuples()]
+        return pd.DataFrame({"shard": [key[0]], "content": [wire.encode(wire.Shard(members, links, dict(meta or {})))]})
+
+    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(build, "shard int, content binary")
+
+
+def shard_counts(content: str | Column) -> Column:
+    """struct<nodes,edges,labels> of shards and batches: how many of each, and the distinct labels; null where a binary is none."""
+
+    def one(b):
+        try:
+            v = wire.decode(bytes(b))
+        except (WireError, TypeError):
+            return None, None, None
+        if not isinstance(v, wire.Shard):
+            return None, None, None
+        return len(v.nodes), len(v.edges), sorted({x for n in v.nodes for x in n.labels})
+
+    def run(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(b) for b in column], columns=["nodes", "edges", "labels"])
+
+    return F.pandas_udf(run, "struct<nodes:long,edges:long,labels:array<string>>")(content)
+
+
+def shard_edges(content: str | Column) -> Column:
+    """An array of struct<src,dst,type> of the edges of shards."""
+
+    def one(b):
+        try:
+            v = wire.decode(bytes(b))
+        except (WireError, TypeError):
+            return None
+        return [{"src": e.src, "dst": e.dst, "type": e.type} for e in v.edges] if isinstance(v, wire.Shard) else None
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(one)
+
+    return F.pandas_udf(run, "array<struct<src:string,dst:string,type:string>>")(content)
