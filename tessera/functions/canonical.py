@@ -74,6 +74,7 @@ def canonical(value, null: str = "_", tables: bool = True, min_rows: int = 3, ma
         columns = table_columns(v, min_rows, max_columns) if tables else None
         if columns is None:
             return "[" + " ".join(map(write, v)) + "]"
+        # fixed value: the header of a table
         lines = [f"@tab _ rows={len(v)} cols={len(columns)} [{' '.join(map(word, columns))}]"]
         lines += ["|" + "|".join((write(row[c]) if c in row else null).replace("|", "\\|") for c in columns) + "|" for row in v]
         return "\n".join([*lines, "@end"])
@@ -106,7 +107,7 @@ def _canonical_texts(texts: pd.Series) -> pd.Series:
     def one(t):
         try:
             return None if t is None else canonical(of_json(t))
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     return texts.map(one)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import ranked
+
 #: Edges, and nodes, that one task may hold (16 bytes each in numpy).
 ONE_TASK_EDGES = 2_000_000
 
@@ -543,16 +545,6 @@ def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("src", "dst")
 
 
-def _ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Add the 0-based rank by ``order``: prefix sums over ranges, so that only a row for each range meets in one task."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_low"))
-    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_within", within).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).drop("_part", "_within", "_start")
-
-
 def _relaxed(start: DataFrame, edges: DataFrame, best: Callable, step: Column) -> DataFrame:
     """(id, t): ``best`` (min or max) over all ways of ``step`` (an expression of t and the edge), until a round changes nothing."""
     known = edges.repartition("src").persist()
@@ -578,7 +570,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, one_task: bool | None
 
     if fits_one_task(nodes, edges) if one_task is None else one_task:
         return in_one_task(nodes, edges, run, "id long, level long, position long")
-    return _ranked(_joined_levels(nodes, edges), ["level", "id"], "position").select("id", "level", "position")
+    return ranked(_joined_levels(nodes, edges), ["level", "id"], "position").select("id", "level", "position")
 
 
 def _one_task_only(nodes, edges, run, schema):

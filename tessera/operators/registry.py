@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import ranked
+
 
 def dictionary(spark: SparkSession, words: list[str]) -> DataFrame:
     """(word, slot): a fixed vocabulary in the order given, each word once."""
@@ -21,12 +23,7 @@ def dictionary_of(df: DataFrame, column: str, order: str) -> DataFrame:
     Slots are prefix sums over ranges of first use: a row for each range meets in one place, the words do not.
     """
     first = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("word")).agg(F.min(order).alias("_first"))
-    ranged = first.repartitionByRange("_first", "word").withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_first", "word")).alias("_low"))
-    before = Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_first", "word")) - 1
-    return ranged.withColumn("_within", within).join(F.broadcast(starts), "_part").select("word", (F.col("_start") + F.col("_within")).cast("long").alias("slot"))
+    return ranked(first, ["_first", "word"], "slot").select("word", "slot")
 
 
 def encoded_words(df: DataFrame, column: str, words: DataFrame, name: str = "slot") -> DataFrame:

@@ -31,24 +31,32 @@ def l2_normalised(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.transform(column, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double"))))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", max_queries: int = 100_000) -> DataFrame:
+#: Bytes of query vectors that one broadcast holds.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(query, id, score, rank): the k most similar vectors of each query, itself left out, ties by id.
 
-    The stated query set is broadcast against all vectors in blocks of the scan; its size is checked.
-    Each block keeps k rows a query before the shuffle.
+    The stated query set is broadcast against all vectors in blocks of at most ``max_bytes``, one after
+    another where it is larger.  Each block keeps k rows a query and partition before the shuffle.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("width")).first()
+    per_block = max(1, max_bytes // (8 * max(size["width"] or 1, 1) + 64))
+    blocks = max(1, -(-size["n"] * 5 // (4 * per_block))) if size["n"] > per_block else 1  # hashed blocks are uneven: a quarter of room
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
     v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn"))
     scale = F.col("_qn") * F.col("_vn")
     score = F.when(scale > 0, dot(F.col("_q"), F.col("_v")) / scale).otherwise(0.0)
-    scored = v.join(F.broadcast(q), (F.size("_v") == F.size("_q")) & (F.col("query") != F.col("id"))).select("query", "id", score.alias("score"))
     order = [F.desc("score"), F.col("id")]
-    local = scored.withColumn("_part", F.spark_partition_id())
-    local = local.withColumn("_r", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_part")
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    every = None
+    for block in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        scored = v.join(F.broadcast(part), (F.size("_v") == F.size("_q")) & (F.col("query") != F.col("id"))).select("query", "id", score.alias("score"))
+        local = scored.withColumn("_part", F.spark_partition_id())
+        local = local.withColumn("_r", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_part")
+        every = local if every is None else every.unionByName(local)
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def graph_scores(candidates: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
@@ -125,7 +133,7 @@ def attention_heads(edges: DataFrame, vectors: DataFrame, key: str = "id", vecto
     """(src, dst, head1..head4, mean): positive cosine of the ends times a head's factor."""
     a, b = vectors.select(F.col(key).alias("src"), F.col(vector).alias("_a")), vectors.select(F.col(key).alias("dst"), F.col(vector).alias("_b"))
     raw = edges.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", F.greatest(cosine(F.col("_a"), F.col("_b")), F.lit(0.0)).alias("raw"))
-    factors = (1.0, 0.9, 1.1, 0.95)
+    factors = (1.0, 0.9, 1.1, 0.95)  # fixed values: what each head multiplies by
     heads = [(F.col("raw") * f).alias(f"head{i + 1}") for i, f in enumerate(factors)]
     return raw.select("src", "dst", *heads, (F.col("raw") * sum(factors) / len(factors)).alias("mean"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import ranked
+
 
 def estimated_tokens(text: Column) -> Column:
     """(bytes + 3) / 4 in whole numbers."""
@@ -22,8 +24,7 @@ def string_pool(strings: DataFrame, column: str, min_bytes: int = 20, min_count:
 def interned(df: DataFrame, column: str, order: str, min_bytes: int = 50, pool_size: int = 256) -> DataFrame:
     """Add ``pool`` and ``slot`` of the second and later occurrences of long strings; nulls where the text stands itself."""
     long_ = df.where(F.octet_length(column) >= min_bytes).groupBy(F.col(column).alias("_v")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    ranked = long_.withColumn("_rank", F.row_number().over(Window.orderBy("_first")) - 1)
-    joined = df.join(ranked, F.col(column) == F.col("_v"), "left")
+    joined = df.join(ranked(long_, ["_first", "_v"], "_rank"), F.col(column) == F.col("_v"), "left")
     later = F.col(order) > F.col("_first")
     return joined.withColumns({"pool": F.when(later, F.floor(F.col("_rank") / pool_size)).cast("long"), "slot": F.when(later, F.col("_rank") % pool_size).cast("long")}).drop("_v", "_first", "_n", "_rank")
 
@@ -40,7 +41,7 @@ def key_dictionary(keys: DataFrame, key: str, order: str, learn: int | None = No
     found = keys.groupBy(F.col(key).alias("key")).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("uses"))
     if learn is not None:
         found = found.where(F.col("_first") < learn)
-    return found.withColumn("slot", (F.row_number().over(Window.orderBy("_first", "key")) - 1).cast("long")).select("key", "slot", "uses")
+    return ranked(found, ["_first", "key"], "slot").select("key", "slot", "uses")
 
 
 def tabular_lines(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -53,6 +54,7 @@ def tabular_lines(df: DataFrame, key: str, order: str, columns: list[str]) -> Da
     line = F.concat(F.lit("|"), F.concat_ws("|", *cells), F.lit("|"))
     rows = df.select(key, F.struct(F.col(order).alias("o"), line.alias("line")).alias("r"))
     table = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("r")).alias("_r"))
+    # fixed value: the header of a table
     head = F.concat(F.lit("@tab _ rows="), F.col("_n").cast("string"), F.lit(f" cols={len(columns)} [{' '.join(columns)}]"))
     body = F.array_join(F.transform("_r", lambda x: x["line"]), "\n")
     return table.select(key, F.concat_ws("\n", head, body, F.lit("@end")).alias("text"))

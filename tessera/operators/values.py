@@ -32,14 +32,14 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 def enriched_kind(name: str, text: Column) -> Column:
     """What a text field is read as: datetime, bytes, uuid or string, by its name first and its form then."""
     low = name.lower()
+    # fixed values: names that say what a field holds
     timely = "time" in low or "date" in low or low.endswith("_at") or low in ("created", "updated")
     binary = any(x in low for x in ("data", "content", "payload", "blob"))
-    kind = F.when(text.rlike(ISO_TIME), "datetime").when(text.rlike(UUID), "uuid").otherwise("string")
-    if timely:
-        kind = F.when(F.try_to_timestamp(text).isNotNull(), "datetime").otherwise(kind)
-    elif binary:
+    is_time = text.rlike(ISO_TIME) & F.try_to_timestamp(text).isNotNull()
+    kind = F.when(is_time, "datetime").when(text.rlike(UUID), "uuid").otherwise("string")
+    if binary:
         kind = F.when(F.try_to_binary(text, F.lit("base64")).isNotNull(), "bytes").otherwise(kind)
-    return kind
+    return F.when(is_time, "datetime").otherwise(kind) if timely else kind
 
 
 def shape(json: Column) -> Column:

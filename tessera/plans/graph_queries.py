@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.operators.ranks import ranked
 from tessera.plans.catalogue import query
 from tessera.session import table
 
@@ -360,11 +361,9 @@ def community_count(spark, sf_dir):
 
 @query("community_renumbered", "WITH f AS (SELECT s_nationkey AS community, min(s_suppkey) AS first FROM supplier GROUP BY 1), r AS (SELECT community, row_number() OVER (ORDER BY first) - 1 AS number FROM f) SELECT s_suppkey AS id, number FROM supplier JOIN r ON community = s_nationkey")
 def community_renumbered(spark, sf_dir):
-    from pyspark.sql import Window
-
     given = communities(spark, sf_dir)
     first = given.groupBy("community").agg(F.min("id").alias("first"))
-    numbered = first.select("community", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
+    numbered = ranked(first, ["first"], "number").select("community", "number")
     return given.join(numbered, "community").select("id", "number")
 
 

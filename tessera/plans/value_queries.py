@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import canonical, decimals, numeric
 from tessera.operators import text as T
 from tessera.operators import values as V
+from tessera.operators.ranks import ranked
 from tessera.plans.catalogue import query
 from tessera.session import table
 
@@ -126,7 +127,7 @@ def relation_names(spark, sf_dir):
 @query("iri_dictionary", "SELECT c_mktsegment AS iri, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS slot FROM customer GROUP BY 1")
 def iri_dictionary(spark, sf_dir):
     first = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("iri")).agg(F.min("c_custkey").alias("first"))
-    return first.select("iri", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("slot"))
+    return ranked(first, ["first"], "slot").select("iri", "slot")
 
 
 @query("conversation_turns", "SELECT conv_id, count(*) AS turns, sum((strlen(text) + 3) // 4)::BIGINT AS tokens FROM conversations GROUP BY 1")

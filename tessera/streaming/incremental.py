@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.textcodec import TextError, parse, plain, unquoted
+from tessera.operators.ranks import ranked
 
 #: Limits on nesting, on the bytes of a name and of a value.
 MAX_DEPTH, MAX_NAME, MAX_VALUE = 128, 4096, 1 << 20
@@ -200,11 +201,9 @@ def batches_of(events: DataFrame, kind: str, order: str, size: int = 1000) -> Da
 
     The rank within a kind is a prefix sum over ranges, so no task holds a kind.
     """
-    from tessera.operators.graph import _ranked
-
-    ranked = _ranked(events, [kind, order], "_rank")
-    first = ranked.groupBy(kind).agg(F.min("_rank").alias("_first"))
-    return ranked.join(F.broadcast(first), kind).withColumn("batch", F.floor((F.col("_rank") - F.col("_first")) / size)).drop("_rank", "_first")
+    placed = ranked(events, [kind, order], "_rank")
+    first = placed.groupBy(kind).agg(F.min("_rank").alias("_first"))
+    return placed.join(F.broadcast(first), kind).withColumn("batch", F.floor((F.col("_rank") - F.col("_first")) / size)).drop("_rank", "_first")
 
 
 def write_graph(events: DataFrame, writer, kind: str = "kind", order: str = "seq") -> int:
