@@ -29,9 +29,11 @@ SMOOTHING = 0.5
 #: Least mean log ratio of a document that is kept.
 THRESHOLD = -0.25
 
-_WORD = r"[^\x20\x09-\x0D]+"
-_SIGNS = r"!-/:-@\[-`{-~"
-_TOKEN = rf"[{_SIGNS}]+|[^\x00-\x20{_SIGNS}]+"
+# Classes name their characters one by one: Java then tests a bit for each character, and a chain of ranges otherwise.
+_WORD = r"[^ \t\n\x0b\f\r]+"
+_SIGNS = "".join("\\" + chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_CONTROLS = "".join(f"\\x{c:02x}" for c in range(33))
+_TOKEN = rf"[{_SIGNS}]+|[^{_CONTROLS}{_SIGNS}]+"
 _SYMBOLS = "#*$%&|<>"
 
 
