@@ -5,9 +5,9 @@ of the whole raw corpus.  A document's score is the mean over its n-grams of the
 two; the verdict keeps a document whose score reaches a fixed threshold.  Plain counts of words,
 symbols, repeated lines and repeated word windows form the base rules.
 
-Counting sends one sum a bucket and task through the shuffle, and the texts that a bounded filter takes
-for trusted ones, which a join tells apart exactly; scoring shuffles nothing: the ratios are one array
-of a double a bucket.
+Counting sends one sum a bucket and task through the shuffle, ids that a bounded filter takes for trusted
+ones, and the few texts that a second filter leaves in doubt, which a join tells apart exactly; scoring
+shuffles nothing: the ratios are one array of a double a bucket.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, packed, text_of
+from tessera.llm.common import fresh, packed, text_of, write_table
 from tessera.llm.exact_dedup import filter_bits, slot_filter, with_membership
 
 #: Buckets that n-grams of up to ``4 * N_BUCKETS`` documents are hashed to; twice as many for each four times the documents.
@@ -63,9 +63,15 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id:
     ids = trusted.select(F.col(doc_id).cast(given.schema["id"].dataType).alias("trusted_id")).where("trusted_id is not null").distinct()
     bits = filter_bits(ids.count())
     given = with_membership(given, "print", slot_filter(ids.select(F.xxhash64("trusted_id").alias("h")), "h", bits, 1), bits, "maybe")
-    met = given.where("maybe").join(ids, F.col("id") == F.col("trusted_id"), "left")
+    # ids alone tell which documents the filter takes for trusted wrongly; a second filter holds those, and only what
+    # both filters take in goes through a join with its text
+    strangers = given.where("maybe").select("id", "print").join(ids, F.col("id") == F.col("trusted_id"), "left_anti")
+    strangers = write_table(strangers.select("print").distinct(), "strangers")
+    bits = filter_bits(strangers.count())
+    given = with_membership(given, "print", slot_filter(strangers, "print", bits, 1), bits, "doubt")
+    met = given.where("maybe and doubt").join(ids, F.col("id") == F.col("trusted_id"), "left")
     marked = met.select(F.col("trusted_id").isNotNull().alias("target"), "text")
-    marked = marked.unionByName(given.where("not maybe").select(F.lit(False).alias("target"), "text"))
+    marked = marked.unionByName(given.where("not (maybe and doubt)").select(F.col("maybe").alias("target"), "text"))
     tokens = marked.select("target", F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)).alias("tokens"))
     grams = tokens.select("target", F.explode(_buckets("tokens", count)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("target").alias("target"))
@@ -131,8 +137,8 @@ def quality_rules(
     """Every row of ``docs`` with the base counts, ``base_failed``, ``n_grams``, ``score`` and ``kept``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  A null text has none and fails the base rules, as does an empty
-    one; a text without n-grams scores 0.  Rows are judged one by one, so repeated rows get equal
-    verdicts.  Columns of ``docs`` named like the results are replaced.  An empty table stays empty.
+    one; a text without n-grams scores 0; a text of any length is read whole.  Rows are judged one by one,
+    so repeated rows get equal verdicts.  Columns of ``docs`` named like the results are replaced.  An empty table stays empty.
     """
     docs = fresh(docs, *RESULTS)
     count = bucket_count(docs.count())
