@@ -96,6 +96,19 @@ def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+# The checksum is folded byte by byte over a table that its polynomial makes.
+OP1_SQL = r"""
+WITH tab AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+d AS (SELECT doc_id, coalesce(text, '') AS body, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum, md5('17:' || CAST(doc_id AS VARCHAR)) AS shuffle FROM documents),
+sums AS (SELECT doc_id, strlen(body) + 8 AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS text_crc32 FROM (SELECT *, hex(encode(body)) AS h FROM d), tab),
+r AS (SELECT doc_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY shuffle, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM d),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY (rank + CAST(0.5 AS DOUBLE)) / n, stratum, rank) - 1 AS pos, count(*) OVER () // 24 AS small, count(*) OVER () % 24 AS wide FROM r),
+s AS (SELECT doc_id, pos, small, wide, CASE WHEN pos < wide * (small + 1) THEN pos // (small + 1) ELSE wide + (pos - wide * (small + 1)) // greatest(small, 1) END AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(pos - (shard * small + least(shard, wide)) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s JOIN sums USING (doc_id)
+"""
+
 OP3_SQL = """
 WITH sizes AS (SELECT coalesce(source, '') AS stratum, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY 1),
 rates AS (SELECT stratum, (SELECT sum(n) FROM sizes) * w / (SELECT sum(w) FROM sizes) / n AS rate FROM sizes),
@@ -108,6 +121,18 @@ SELECT doc_id, source, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(copies AS INTEGE
 FROM counted
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))
+     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS MATERIALIZED (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY 1),
+s AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM s JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE shared >= 0.8 * (p.n + q.n - shared) - 1e-9
+     UNION ALL SELECT p.doc_id, q.doc_id FROM n p JOIN n q ON p.n = 0 AND q.n = 0 AND p.doc_id <> q.doc_id),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, (SELECT min(b) FROM r WHERE r.a = doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.a = doc_id) AS n_links FROM n
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
            sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents)
@@ -136,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_poisson_mix": OP3_SQL, "op10_bloom_exact_dedup": OP10_SQL}
+    return {"op1_stratified_shards": OP1_SQL, "op3_poisson_mix": OP3_SQL, "op9_lsh_forest_join": OP9_SQL, "op10_bloom_exact_dedup": OP10_SQL}
