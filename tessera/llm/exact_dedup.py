@@ -4,8 +4,8 @@ Pass one hashes every normalised text and keeps the filter slots that two or mor
 Pass two probes that filter: a row with an untouched slot is certainly unique and passes straight
 through; only the rest shuffle, by a SHA-256 of the normalised text, and are compared exactly.
 
-The filter has 16 bits a row and at most ``MAX_BITS`` bits (8 MB), whatever the corpus holds: it is
-broadcast only within that bound.  Beyond it more unique rows shuffle; results never change.
+The filter has 16 bits a row and at most ``MAX_BITS`` bits, whatever the corpus holds: 2^20 words, some 100 MB
+as rows in memory, are broadcast at most.  Beyond that more unique rows shuffle; results never change.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     empty, and all empty texts are equal.  Of equal texts the row with the most code points in the
     original text stays, then the smallest doc_id (a null doc_id comes last).  Of rows that agree in
     text and doc_id exactly one stays.  Columns of ``docs`` that have the names of the results are
-    replaced by them.  An empty table gives an empty table.
+    replaced by them.  Texts of any length are compared whole, by their SHA-256.  An empty table gives an empty table.
     """
     docs = fresh(docs, "keep_id", "group_size", "kept", "text_sha256")
     n_rows = docs.count()

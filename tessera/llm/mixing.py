@@ -43,14 +43,14 @@ def source_rates(
     wanted = F.sum("rows").over(everything).cast("double") if total is None else F.lit(float(total))
     rate = F.when(all_weight > 0, wanted * F.col("weight") / all_weight / F.col("rows")).otherwise(0.0)
     rated = sizes.withColumn("rate", rate)
-    # log of k! as a running sum keeps the table in range for any rate
+    # the log of k! keeps the table in range for any rate
     last = F.ceil(F.col("rate") + _TAIL * F.sqrt(F.col("rate")) + _TAIL).cast("int")
     terms = rated.select("stratum", "rate", F.posexplode(F.sequence(F.lit(0), last)).alias("k", "_k"))
-    logs = F.expr("if(k = 0, 0D, k * ln(greatest(rate, 1e-300)) - aggregate(sequence(1, greatest(k, 1)), 0D, (s, i) -> s + ln(i)))")
-    terms = terms.withColumn("mass", F.exp(logs - F.col("rate")))
-    tables = terms.groupBy("stratum", "rate").agg(F.sort_array(F.collect_list(F.struct("k", "mass"))).alias("m"))
-    running = "transform(m, x -> aggregate(slice(m, 1, x.k + 1), 0D, (s, y) -> s + y.mass))"
-    return tables.select("stratum", "rate", F.expr(running).alias("cdf"))
+    in_order = Window.partitionBy("stratum").orderBy("k")  # one running sum for the factorials, one for the masses
+    logs = F.col("k") * F.ln(F.greatest(F.col("rate"), F.lit(1e-300))) - F.sum(F.ln(F.greatest(F.col("k"), F.lit(1)))).over(in_order)
+    terms = terms.withColumn("mass", F.exp(logs - F.col("rate"))).withColumn("through", F.sum("mass").over(in_order))
+    tables = terms.groupBy("stratum", "rate").agg(F.sort_array(F.collect_list(F.struct("k", "through"))).alias("m"))
+    return tables.select("stratum", "rate", F.transform("m", lambda x: x["through"]).alias("cdf"))
 
 
 def poisson_mix(
@@ -67,8 +67,8 @@ def poisson_mix(
 
     Rows are dealt out by range of ``shuffle`` and sorted by it within partitions: reading the
     partitions in turn is one global random order.  A null doc_id is hashed by its text, so rows without
-    an id and with equal texts get equal counts, as do repeated rows.  Columns of ``docs`` with the
-    names of the results are replaced.  An empty table gives an empty table.
+    an id and with equal texts get equal counts, as do repeated rows.  Texts of any length go along whole.  Columns of
+    ``docs`` with the names of the results are replaced.  An empty table gives an empty table.
     """
     docs = fresh(docs, "rate", "copies", "copy", "shuffle")
     rates = source_rates(docs, weights, total, temperature, source)

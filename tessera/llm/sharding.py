@@ -29,7 +29,7 @@ def stratified_shards(
     Row counts of shards differ by one at most.  A null source is a stratum of its own.  A null
     doc_id is shuffled by its text; rows that agree in doc_id are ordered by text, and rows that agree in
     both are interchangeable.  Columns of ``docs`` named ``shard`` or ``slot`` are replaced.
-    An empty table gives an empty table.  No source, however large, meets in one task.
+    Texts of any length go along whole.  An empty table gives an empty table.  No source, however large, meets in one task.
     """
     docs = fresh(docs, "shard", "slot")
     totals = docs.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(doc_id)).alias("ids")).first()
