@@ -6,7 +6,8 @@ over overlapping chunks, and the mean and the maximum over all chunks go through
 one probability.  Every byte of a document lies in a chunk, whatever its length.
 
 Training takes a bounded sample: at most ``MAX_PER_CLASS`` labelled documents of each class, those
-with the least hashes.  Scoring covers every document, batch by batch, on the executors.
+with the least hashes, and of them as many as ``MAX_TRAINING_BYTES`` hold in all.  Scoring covers every
+document, slice by slice of a batch, on the executors; filters answer a bounded stretch at a time.
 """
 
 from __future__ import annotations
@@ -16,17 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, ship, text_of
+from tessera.llm.common import fresh, ship, text_of, text_slices, tidy
 
-#: Bound on the labelled rows of each class that the network is fitted on, and on the bytes of each.
+#: Bound on the labelled rows of each class that the network is fitted on, and on the bytes of all of them.
 MAX_PER_CLASS = 1500
-MAX_TRAINING_BYTES = 1 << 18
+MAX_TRAINING_BYTES = 1 << 26
 #: Filter width and step in bytes, filters, and units of the hidden layer.
 WIDTH, STEP, FILTERS, HIDDEN = 8, 4, 24, 16
 #: Filter places in a block; a chunk is CHUNK blocks and shares one block with the next.
 BLOCK, CHUNK = 32, 4
 KINDS, RANDOM = 7, 5
 STEPS, BATCH, RATE = 700, 32, 0.01
+#: Blocks that are scored at a time.
+STRETCH = 512
 
 
 def _embedding() -> np.ndarray:
@@ -69,15 +72,16 @@ class Layout:
         self.chunk_blocks = np.minimum(at[:, None] + np.arange(CHUNK), (first_block + blocks - 1)[doc][:, None])
         self.chunk_starts = np.cumsum(chunks) - chunks
 
-    def columns(self) -> np.ndarray:
-        """One row for each filter place: the embedded bytes that the filters see there."""
-        embedded = _TABLE[self.flat]
-        n = (len(self.flat) - WIDTH) // STEP
+    def columns(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """One row for each filter place in [first, last): the embedded bytes that the filters see there."""
+        last = (len(self.flat) - WIDTH) // STEP if last is None else last
+        embedded = _TABLE[self.flat[first * STEP : last * STEP + WIDTH - STEP]]
         width = KINDS + RANDOM
-        shape, strides = (n, _SIZE), (STEP * width * 4, 4)
+        shape, strides = (last - first, _SIZE), (STEP * width * 4, 4)
         seen = np.lib.stride_tricks.as_strided(embedded, shape, strides)
         rows = np.ascontiguousarray(seen)
-        rows[self.last_place, STEP * width :] = 0
+        ends = self.last_place[np.searchsorted(self.last_place, first) : np.searchsorted(self.last_place, last)]
+        rows[ends - first, STEP * width :] = 0
         return rows
 
     def extras(self) -> np.ndarray:
@@ -103,7 +107,12 @@ def new_weights(seed: int = 3) -> dict[str, np.ndarray]:
 def forward(weights: dict[str, np.ndarray], layout: Layout, columns: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Probabilities, and what the backward pass needs."""
     response = columns @ weights["filters"]
-    blocks = response.reshape(-1, BLOCK, FILTERS).max(axis=1)
+    scores, state = _from_blocks(weights, layout, response.reshape(-1, BLOCK, FILTERS).max(axis=1))
+    return scores, (response, *state)
+
+
+def _from_blocks(weights, layout: Layout, blocks: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Probabilities from the filters' largest response in each block."""
     held = blocks[layout.chunk_blocks]
     pooled = np.maximum(held.max(axis=1) + weights["filter_bias"], 0)
     mean = np.add.reduceat(pooled, layout.chunk_starts) / layout.chunks[:, None]
@@ -111,7 +120,7 @@ def forward(weights: dict[str, np.ndarray], layout: Layout, columns: np.ndarray)
     joined = np.concatenate([mean, most, layout.extras()], axis=1)
     hidden = np.maximum(joined @ weights["hidden"] + weights["hidden_bias"], 0)
     logit = (hidden @ weights["out"] + weights["out_bias"])[:, 0]
-    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), (response, held, pooled, most, joined, hidden)
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), (held, pooled, most, joined, hidden)
 
 
 def backward(weights, layout: Layout, columns, state, error: np.ndarray) -> dict[str, np.ndarray]:
@@ -182,7 +191,11 @@ def score_texts(weights: dict[str, np.ndarray], texts: list[bytes], budget: int
 
 def _score(weights, texts: list[bytes]) -> np.ndarray:
     layout = Layout(texts)
-    return forward(weights, layout, layout.columns())[0].astype(np.float64)
+    blocks = np.empty((int(layout.blocks.sum()), FILTERS), dtype=np.float32)
+    for at in range(0, len(blocks), STRETCH):
+        rows = layout.columns(at * BLOCK, min(at + STRETCH, len(blocks)) * BLOCK)
+        blocks[at : at + STRETCH] = (rows @ weights["filters"]).reshape(-1, BLOCK, FILTERS).max(axis=1)
+    return _from_blocks(weights, layout, blocks)[0].astype(np.float64)
 
 
 def held_out_remainder(doc_id: str = "doc_id"):
@@ -191,22 +204,25 @@ def held_out_remainder(doc_id: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality"):
-    """Texts and labels of the bounded sample, on the driver: ``MAX_PER_CLASS`` rows of each class at most.
+    """Texts and labels of the bounded sample, on the driver: ``MAX_PER_CLASS`` rows of each class and ``MAX_TRAINING_BYTES`` at most.
 
     Labels come from rows outside the held-out fold; a null label, or two labels for one id that differ, are left out.
+    Texts of any length are taken whole, in the order of the ids' hashes, as long as all together keep to the bound.
     """
     usable = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (held_out_remainder(doc_id) != 0))
     agreed = usable.groupBy(F.col(doc_id).alias("label_id")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
     picked = [agreed.where(F.col("y") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(MAX_PER_CLASS) for k in (0, 1)]
-    ids = picked[0].unionByName(picked[1])
-    rows = (
-        docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body"))
-        .join(F.broadcast(ids), F.col("id") == F.col("label_id"))
-        .where(F.octet_length("body") <= MAX_TRAINING_BYTES)
-        .groupBy("id")
-        .agg(F.min("body").alias("body"), F.first("y").alias("y"))
-        .collect()
-    )
+    ids = picked[0].unionByName(picked[1]).select("label_id", "y")
+    given = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body"))
+    met = given.join(F.broadcast(ids), F.col("id") == F.col("label_id"))
+    sizes = met.groupBy("id").agg(F.max(F.octet_length("body")).alias("size"), F.xxhash64("id").alias("h"))
+    chosen, held = [], 0
+    for row in sorted(sizes.collect(), key=lambda r: (r["h"], r["id"])):
+        if held + row["size"] <= MAX_TRAINING_BYTES:
+            chosen.append(row["id"])
+            held += row["size"]
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in chosen], docs.select(F.col(doc_id).alias("id")).schema)
+    rows = met.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("body").alias("body"), F.first("y").alias("y")).collect()
     rows.sort(key=lambda r: r["id"])
     return [r["body"].encode() for r in rows], np.array([r["y"] for r in rows], dtype=np.float32)
 
@@ -216,9 +232,10 @@ def quality_scores(
 ) -> DataFrame:
     """Every row of ``docs`` with ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
 
-    Only the text makes the score; a null or empty text is scored as one without bytes.  ``held_out`` is
-    false for a null doc_id, which no label can name.  Repeated rows get equal scores.  Columns of
-    ``docs`` named like the results are replaced.  Without labels the untrained network scores.
+    Only the text makes the score; a null or empty text is scored as one without bytes, a text of any
+    length by all its bytes.  ``held_out`` is false for a null doc_id, which no label can name.  Repeated
+    rows get equal scores.  Columns of ``docs`` named like the results are replaced.  Without labels the
+    untrained network scores.  An empty table stays empty.
     """
     docs = fresh(docs, "held_out", "score", "predicted")
     ship(docs.sparkSession)
@@ -226,11 +243,11 @@ def quality_scores(
     names = docs.columns
     at = names.index(text)
 
+    @tidy
     def score(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            scores = score_texts(weights, texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
+            for part, texts in text_slices(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(weights, texts))], names=[*part.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     scored = docs.mapInArrow(score, f"{fields}, score double")

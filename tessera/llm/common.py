@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import io
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -18,16 +19,22 @@ from pyspark.sql import functions as F
 #: Rows that one bucket of a distributed rank should hold.
 ROWS_PER_BUCKET = 20_000
 
+#: Rows that go to Python at a time.
+ROWS_PER_BATCH = 2000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: The ASCII white space class ``[\x20\x09-\x0D]`` of the contracts.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names; a local one only in local mode, where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("tessera.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("tessera.shared.dir", found)
     return found
@@ -48,8 +55,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the operators that run Python."""
+    """Send this package to the executors once per application, for the operators that run Python.
+
+    Where the session has Spark's default of 10,000 rows a batch, it is lowered to ``ROWS_PER_BATCH``: both sides of the
+    pipe to Python hold a whole batch of texts.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(_BATCH_ROWS, str(ROWS_PER_BATCH))
     if getattr(context, "_tessera_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -83,10 +96,16 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = 1_000_000):
         begin = stop
 
 
-def tidy(process):
-    """A function of Arrow batches that gives its memory back to the system when its task ends: workers are reused."""
+def tidy(process, keeps_tokens: bool = False):
+    """A function of Arrow batches that gives its memory back to the system when its task ends: workers are reused.
+
+    The caches of token ids that an earlier task left in the worker go first, but for operators that use them.
+    """
 
     def run(batches):
+        tokens = sys.modules.get("tessera.llm.tokens")
+        if tokens is not None and not keeps_tokens:
+            tokens.forget()
         try:
             yield from process(batches)
         finally:

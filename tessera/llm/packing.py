@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, ship, text_of, write_table
-from tessera.llm.tokens import default_path, encoder, small_slices
+from tessera.llm.common import fresh, ship, text_of, text_slices, tidy, write_table
+from tessera.llm.tokens import default_path, encoder
 
 _IDS = "part int, at long, n_tokens long, ids binary"
 
@@ -37,20 +37,18 @@ def token_table(docs: DataFrame, path: str, keeps_spaces: bool, end_id: int, tex
         part, at = TaskContext.get().partitionId(), 0
         tokens = encoder(path, keeps_spaces)
         for batch in batches:
-            held = batch.column(len(others))
-            texts = held.to_pylist()
-            for begin, stop in small_slices(texts):
-                ids = [x + end for x in tokens.encode(texts[begin:stop])]
+            for rows, texts in text_slices(batch, len(others), 500_000):
+                ids = [x + end for x in tokens.encode([t.decode() for t in texts])]
                 counts = np.array([len(x) // 2 for x in ids], dtype=np.int64)
                 before = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
-                columns = [batch.column(i).slice(begin, stop - begin) for i in range(len(others))]
+                columns = [rows.column(i) for i in range(len(others))]
                 columns += [pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(before), pa.array(counts), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*others, "part", "at", "n_tokens", "ids"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in others], text_of(text).alias(text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return write_table(kept.mapInArrow(encode, f"{fields}, {_IDS}" if fields else _IDS), name)
+    return write_table(kept.mapInArrow(tidy(encode, keeps_tokens=True), f"{fields}, {_IDS}" if fields else _IDS), name)
 
 
 def with_starts(tokens: DataFrame, name: str = "start") -> DataFrame:
@@ -101,8 +99,7 @@ def packed_pieces(
 
     def summed(batches):
         for batch in batches:
-            ids = batch.column(len(names)).to_pylist()
-            crc = [zlib.crc32(np.frombuffer(x, dtype="<u2").astype("<u4").tobytes()) for x in ids]
+            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype="<u2").astype("<u4")) for x in batch.column(len(names))]
             columns = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(crc, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
 

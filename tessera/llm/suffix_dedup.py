@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, ship, text_of, write_table
+from tessera.llm.common import fresh, ship, text_of, text_slices, tidy, write_table
 from tessera.llm.exact_dedup import filter_bits, slot_filter, with_membership
 from tessera.llm.compact_windows import _sliding
 from tessera.llm.induced_sort import suffix_order
 from tessera.llm.shingles import mix
 from tessera.llm.shingles import _powers
-from tessera.llm.tokens import small_slices
 
 LENGTH, GRAM = 100, 50
 _WINDOW = LENGTH - GRAM + 1
@@ -100,14 +99,14 @@ def _repeats(entries: list[tuple], folder: str | None = None):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(unit, low, high): byte spans to remove from the text whose MD5 is ``unit``; ``docs`` has (id, unit, text)."""
 
+    @tidy
     def find(batches):
         for batch in batches:
-            units = np.array(batch.column(0).to_pylist())
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            for begin, stop in small_slices(texts, 1_000_000):
-                text, key, place, _, _ = anchors(texts[begin:stop])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(units[begin:stop][text]), pa.array(place)], names=["key", "short", "place"])
+            for part, texts in text_slices(batch, 1):
+                text, key, place, _, _ = anchors(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part.column(0).to_numpy()[text]), pa.array(place)], names=["key", "short", "place"])
 
+    @tidy
     def meet(batches):
         held = None  # the last row of the batch before, and whether it has been given out
         for batch in batches:
@@ -144,28 +143,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     units = units.where(F.col("id").eqNullSafe(F.col("first.id"))).dropDuplicates(["unit"])
     units = units.select("unit", F.col("first.no_id").alias("no_id"), F.col("first.id").alias("id"), "places", "text")
 
+    @tidy
     def cut(batches):
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            held = batch.column(3).to_pylist()
-            texts = [t.encode() for t in batch.column(4).to_pylist()]
-            for begin, stop in small_slices(texts, 1_000_000):
-                text, key, place, first, last = anchors(texts[begin:stop])
-                edges = np.searchsorted(text, np.arange(stop - begin + 1))
+            for part, texts in text_slices(batch, 4):
+                held = part.column(3).to_pylist()
+                text, key, place, first, last = anchors(texts)
+                edges = np.searchsorted(text, np.arange(len(texts) + 1))
                 keep = np.zeros(len(text), dtype=bool)
-                for k in range(stop - begin):
+                for k in range(len(texts)):
                     a, b = edges[k], edges[k + 1]
-                    keep[a:b] = np.isin(place[a:b], np.array(held[begin + k], dtype=np.int64))
+                    keep[a:b] = np.isin(place[a:b], np.array(held[k], dtype=np.int64))
                 text, key, place, first, last = (x[keep] for x in (text, key, place, first, last))
-                pieces = [texts[begin + t][a : b + LENGTH] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
-                owner = pa.array(text + begin)
+                pieces = [texts[t][a : b + LENGTH] for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+                owner = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(pieces, pa.binary()), batch.column(1).take(owner), batch.column(2).take(owner), batch.column(0).take(owner), pa.array(first)],
+                    [pa.array(key), pa.array(pieces, pa.binary()), *(part.column(i).take(owner) for i in (1, 2, 0)), pa.array(first)],
                     names=["key", "piece", "no_id", "id", "unit", "start"],
                 )
 
     pieces = units.mapInArrow(cut, "key long, piece binary, no_id boolean, id long, unit string, start long")
 
+    @tidy
     def sort(batches):
         entries, held, last_key, last_piece, out = [], 0, None, None, []
         for batch in batches:
@@ -211,7 +210,8 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
     string starts earlier in a smaller doc_id (null comes last; then by the text's MD5), or in
     the same document.  Of rows with equal texts all but the first lose all their bytes if they have
     ``LENGTH`` or more; of rows that agree in doc_id too, any one is the first.  Columns of ``docs`` with
-    the names of the results are replaced.  An empty table gives an empty table.
+    the names of the results are replaced.  Texts of any length are read whole, one slice of a batch at a time.  doc_id is
+    cast to long.  An empty table gives an empty table.
     """
     docs = fresh(docs, *RESULTS)
     ship(docs.sparkSession)
@@ -225,6 +225,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
     needed = with_membership(given.withColumn("h", F.xxhash64("unit")), "h", words, bits, "maybe").where("maybe")
     whole = needed.join(spans.withColumnRenamed("unit", "u"), F.col("unit") == F.col("u")).select("unit", "found", "text")
 
+    @tidy
     def strip(batches):
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
         for batch in batches:

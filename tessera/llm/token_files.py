@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, ship, text_of, write_table
-from tessera.llm.tokens import default_path, encoder, small_slices
+from tessera.llm.common import fresh, ship, text_of, text_slices, tidy, write_table
+from tessera.llm.tokens import default_path, encoder
 
 #: A block is full when it holds so many ids; documents are never split.
 BLOCK = 1 << 16
@@ -115,7 +115,8 @@ def write_token_files(
     Rows: ``part`` and ``block`` (their order is the order of ids), ``n_ids``, ``doc_ids`` and ``doc_ends`` (for
     each document that ends in the block, the ids of the block up to its end), ``n_docs`` and ``payload``.
     Rows with a null doc_id come first; rows that agree in doc_id are ordered by text.  A null text
-    counts as empty.  An empty table gives no rows.
+    counts as empty; a text of any length is encoded whole and lies in one block.  Repeated rows are written each
+    time.  No other column of ``docs`` is read, so none can clash.  doc_id is cast to long.  An empty table gives no rows.
     """
     ship(docs.sparkSession)
     vocabulary = path or default_path("word_bpe_49k.json")
@@ -136,9 +137,8 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=columns)
 
         for batch in batches:
-            found, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for begin, stop in small_slices(texts):
-                for name, ids in zip(found[begin:stop], tokens.encode(texts[begin:stop]), strict=True):
+            for rows, texts in text_slices(batch, 1, 500_000):
+                for name, ids in zip(rows.column(0).to_pylist(), tokens.encode([t.decode() for t in texts]), strict=True):
                     names.append(name)
                     pieces.append(np.frombuffer(ids + end, dtype="<u2"))
                     size += len(pieces[-1])
@@ -151,7 +151,7 @@ def write_token_files(
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie")
     ordered = ordered.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    return write_table(ordered.mapInArrow(encode, schema), "simple8b")
+    return write_table(ordered.mapInArrow(tidy(encode, keeps_tokens=True), schema), "simple8b")
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:

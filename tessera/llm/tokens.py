@@ -11,6 +11,7 @@ through the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -50,6 +51,17 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+def _refuse_others(path: str, keeps_spaces: bool) -> None:
+    """Raise for a vocabulary file whose steps are not those that the chunks and patterns here stand for."""
+    with open(path, encoding="utf-8") as held:
+        file = json.load(held)
+    model = file.get("model", {})
+    steps = json.dumps([file.get("pre_tokenizer"), file.get("normalizer")])
+    lower = "Lowercase" in steps
+    if model.get("type") != "BPE" or "ByteLevel" not in steps or lower == keeps_spaces:
+        raise ValueError(f"no vocabulary that the chunks of {'leading' if keeps_spaces else 'no'} spaces are exact for: {path}")
+
+
 class Encoder:
     """Texts to little-endian uint16 ids.  ``keeps_spaces``: are spaces part of the tokens that follow?"""
 
@@ -58,6 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        _refuse_others(path, keeps_spaces)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         # in any case of letters, which normalizers may change; a text too many in the library does no harm
@@ -145,13 +158,6 @@ def encoder(path: str, keeps_spaces: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def small_slices(texts: list[str], limit: int = 2_000_000):
-    """Consecutive ranges of texts of about ``limit`` characters, one text at least."""
-    begin = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= limit:
-            yield begin, i + 1
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def forget() -> None:
+    """Drop the worker's encoders and their caches."""
+    _ENCODERS.clear()
