@@ -3,6 +3,9 @@
 Each stage works on all that its predecessor kept, is written as Parquet in the shared folder and is
 read back as the next one's ``docs``.  SQL cannot express the classifier, so there is no oracle; the
 tests hold every stage against a brute-force version.
+
+All stages take null and empty texts as texts without words, texts of any length whole, and extra columns
+under any name as they are; an empty table stays empty.  What each makes of them is said below.
 """
 
 from __future__ import annotations
@@ -24,28 +27,44 @@ def _same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network accepts."""
+    """Documents that the byte-level network accepts.
+
+    Null and empty texts get one score and go or stay together, as do repeated rows.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return _same_columns(quality_scores(docs, labels).where("predicted = 1"), docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, ties by the least doc_id.
+
+    Null and empty texts are one group; of repeated rows one stays.
+    """
     return _same_columns(exact_dedup(docs).where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, that with the least doc_id; null comes last.
+
+    Texts without words are one class; of repeated rows one stays.
+    """
     return _same_columns(near_dedup(docs), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards source weights of the square root of their sizes, in a global shuffle."""
+    """Documents repeated towards source weights of the square root of their sizes, in a global shuffle.
+
+    A null source is one source; rows that agree in doc_id, or in text where they have none, get equal counts.  A count of 0
+    leaves a document out: that is the method.
+    """
     return _same_columns(poisson_mix(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixture's documents in sequences of 1024 ids."""
+    """Pieces of the mixture's documents in sequences of 1024 ids.
+
+    A null or empty text is one piece with the end id; repeated rows are packed each time.
+    """
     return packed_pieces(docs, 1024)
 
 
