@@ -412,6 +412,30 @@ class TypeTable:
             out.append(f"{name}{':' + t.version if t.version else ''}{{{' '.join(cells)}}}")
         return "\n".join(out)
 
+    def identity(self) -> str:
+        """SHA-256 of the canonical text, as hex digits."""
+        import hashlib
+
+        return hashlib.sha256(self.canonical().encode()).hexdigest()
+
+
+def parse_types(text: str) -> TypeTable:
+    """The table that :meth:`TypeTable.canonical` writes; the text may stand in ``@schema{..}``."""
+    inner = re.fullmatch(r"\s*@schema\{(.*)\}\s*", text, re.DOTALL)
+    table = TypeTable()
+    for line in (inner.group(1) if inner else text).strip().splitlines():
+        head = re.fullmatch(r"\s*(\w+)(?::([^{\s]+))?\{([^}]*)\}\s*", line)
+        if head is None:
+            raise TextError(f"no type: {line[:40]}")
+        fields = []
+        for part in head.group(3).split():
+            found = re.fullmatch(r"(\d+):(\w+)(?:@(\w+))?:([^?\s]+)(\?)?", part)
+            if found is None:
+                raise TextError(f"no field: {part[:40]}")
+            fields.append(Field(found.group(2), found.group(4), found.group(3) or "", int(found.group(1)), bool(found.group(5))))
+        table.add(head.group(1), *fields, version=head.group(2) or "")
+    return table
+
 
 def cell(value, null: str = "∅") -> str:
     """A value in packed form."""

@@ -130,3 +130,30 @@ def text_modes(spark, sf_dir):
 def selected_modes(spark, sf_dir):
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("kinds"))
     return users.select("user_id", X.select_mode(F.col("n"), F.col("kinds") == 1, F.col("n") < 100).alias("mode"))
+
+
+@query("value_bridge", "SELECT event_id, true AS same_text, true AS same_document FROM events")
+def value_bridge(spark, sf_dir):
+    """Text to binary and back, and binary to text and back: neither loses anything."""
+    from tessera.sources import wire
+
+    k = F.get_json_object("props", "$.k")
+    given = table(spark, sf_dir, "events").select("event_id", canonical.canonical_text(F.concat(F.lit('{"k":'), k, F.lit(',"t":"'), "event_type", F.lit('","l":[1.5,null,true]}'))).alias("text"))
+    coded = given.select("event_id", "text", wire.to_wire(X.text_to_json("text")).alias("document"))
+    back = coded.select("event_id", "text", "document", canonical.canonical_text(wire.wire_to_json("document")).alias("again"))
+    same = wire.to_wire(X.text_to_json("again")) == F.col("document")
+    return back.select("event_id", (F.col("again") == F.col("text")).alias("same_text"), same.alias("same_document"))
+
+
+@query("crc32_values", """WITH tab AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n)))
+SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS crc FROM documents, tab""")
+def crc32_values(spark, sf_dir):
+    """The checksums themselves."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+
+
+@query("schema_identity", "SELECT 'Order:1{1:id@k:int 2:status@s:str 3:clerk@c:str?}' AS text, sha256('Order:1{1:id@k:int 2:status@s:str 3:clerk@c:str?}') AS id, true AS read_back")
+def schema_identity(spark, sf_dir):
+    """The canonical text of a schema, its identity, and the schema read back from it."""
+    text = ORDER.canonical()
+    return spark.createDataFrame([(text, ORDER.identity(), X.parse_types("@schema{" + text + "}") == ORDER)], "text string, id string, read_back boolean")
