@@ -172,7 +172,7 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    step = 4096
+    step = max(1, min(4096, int(common.sum())))
     for begin in range(0, int(common.sum()), step):
         a, b = np.searchsorted(column, [begin, begin + step])
         part = np.zeros((len(sets), step), dtype=np.float32)
@@ -226,11 +226,14 @@ def _link_batch(rows) -> pa.RecordBatch:
 
 
 def _in_company(nodes: DataFrame, length: int) -> DataFrame:
-    """Nodes that share a prefix of ``length`` with another in some trie."""
+    """(print) hashes of the nodes that share a prefix of ``length`` with another in some trie.
+
+    Two numbers for each node and trie go through the shuffle; hashes that collide let a node in that has no company.
+    """
     entries = nodes.where("n > 0").select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature")
-    entries = entries.select("node", F.struct("tree", prefix(length).alias("key")).alias("place"))
-    shared = entries.groupBy("place").agg(F.min("node").alias("one"), F.max("node").alias("other")).where("one <> other").select("place")
-    return entries.join(shared, "place").select("node").distinct()
+    entries = entries.select(F.xxhash64("node").alias("print"), F.xxhash64("tree", prefix(length)).alias("place"))
+    shared = entries.groupBy("place").agg(F.min("print").alias("one"), F.max("print").alias("other")).where("one <> other").select("place")
+    return entries.join(shared, "place").select("print").distinct()
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -336,7 +339,7 @@ def ngram_classes(
     nodes = write_table(nodes, "nodes")
     shortest = least_length(threshold, target)
     company = write_table(_in_company(nodes, shortest), "company")
-    sets = _shingled(docs, nodes.join(company, "node"), text, doc_id)
+    sets = _shingled(docs, nodes.join(company, F.xxhash64("node") == F.col("print")).drop("print"), text, doc_id)
     rounds = _descend(sets, threshold, target, shortest)
     links = rounds[0]
     for more in rounds[1:]:
