@@ -27,3 +27,11 @@ def test_added_token_has_its_own_id(name, want):
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=8).map("".join), max_size=4))
 def test_texts_with_added_tokens_are_the_librarys(texts):
     _same(texts)
+
+
+def test_words_beside_newlines_are_cached_as_words():
+    texts = ["one two\nthree four.\nÜber's\n", "\ntwo\none four\nthree 12", "a\n\nb \n c\n\n\nd"]
+    _same(texts)
+    own = Encoder(default_path("byte_bpe_50k.json"), True)
+    own.encode(texts[:2])
+    assert not any("\n" in chunk[1:] for chunk in own.cache)
