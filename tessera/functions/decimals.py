@@ -33,12 +33,17 @@ def compare(a: Column, b: Column) -> Column:
 
 def timestamp_of_nanos(nanos: Column) -> Column:
     """Nanoseconds since 1970 as a timestamp; the last three digits are dropped."""
-    return F.timestamp_micros(F.floor(nanos / 1000).cast("long"))
+    return F.timestamp_micros(_whole(nanos, 1000))
+
+
+def _whole(nanos: Column, unit: int) -> Column:
+    """Whole units, rounded down, in integers: a double holds times of today to some 256 nanoseconds alone."""
+    return F.call_function("div", nanos - F.pmod(nanos, F.lit(unit)), F.lit(unit))
 
 
 def rfc3339_of_nanos(nanos: Column) -> Column:
     """Nanoseconds since 1970 as RFC 3339 text in UTC with nine digits."""
-    whole, rest = F.floor(nanos / 1_000_000_000).cast("long"), F.pmod(nanos, F.lit(1_000_000_000))
+    whole, rest = _whole(nanos, 1_000_000_000), F.pmod(nanos, F.lit(1_000_000_000))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(whole / 86400).cast("int"))
     second = F.pmod(whole, F.lit(86400))
     clock = [F.lpad(F.floor(second / 3600).cast("string"), 2, "0"), F.lpad(F.floor(second % 3600 / 60).cast("string"), 2, "0"), F.lpad((second % 60).cast("string"), 2, "0")]
