@@ -86,10 +86,9 @@ def event_batches(spark, sf_dir):
 
 @query("graph_shards", "SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM orders) AS edges, 'Customer' AS labels, (SELECT CAST(sum(o_custkey + o_orderkey) AS BIGINT) FROM orders) AS ends")
 def graph_shards(spark, sf_dir):
-    """Customers and their orders in eight documents, and what they hold."""
+    """Customers and their orders in eight shards, and what they hold."""
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), F.to_json(F.struct("c_nationkey")).alias("props"))
     edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.lit("PLACED").alias("type"), F.lit(None).cast("string").alias("props"))
     shards = D.graph_shards(nodes, edges, 8, {"made_of": "customers"})
-    counts = shards.select(D.shard_counts("content").alias("c"), D.shard_edges("content").alias("e"))
-    ends = F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["src"].cast("long") + x["dst"].cast("long"))
-    return counts.agg(F.sum("c.nodes").alias("nodes"), F.sum("c.edges").alias("edges"), F.max(F.array_join("c.labels", ",")).alias("labels"), F.sum(ends).alias("ends"))
+    ends = F.aggregate("links", F.lit(0).cast("long"), lambda s, x: s + x["src"].cast("long") + x["dst"].cast("long"))
+    return D.shard_contents(shards).agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"), F.max(F.array_join("labels", ",")).alias("labels"), F.sum(ends).alias("ends"))

@@ -387,14 +387,20 @@ def to_torch(d: Dataset, device: str | None = None) -> dict:
 # --- shards ---
 
 
+#: Nodes and edges that a document of a shard holds, about: readers take a million of each, and a task holds one document.
+SHARD_ROWS = 50_000
+
+
 def graph_shards(nodes: DataFrame, edges: DataFrame, n_shards: int, meta: dict | None = None) -> DataFrame:
     """(shard, content): nodes (id, labels, props) and edges (src, dst, type, props) in documents that stand for themselves.
 
-    An edge lies with its source; props are JSON objects or null.  A shard is one document, built where its rows meet.
+    An edge lies with its source; props are JSON objects or null.  A document is built where its rows meet; a shard of
+    more than ``SHARD_ROWS`` rows has several, dealt by node.
     """
+    documents = max(1, -(-(nodes.count() + edges.count()) // (n_shards * SHARD_ROWS)))
 
     def part(column: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(n_shards)).cast("int").alias("shard")
+        return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(n_shards * documents)).cast("int").alias("part")
 
     left = nodes.select(part("id"), F.col("id").cast("string").alias("id"), "labels", "props")
     right = edges.select(part("src"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", "props")
@@ -402,22 +408,23 @@ def graph_shards(nodes: DataFrame, edges: DataFrame, n_shards: int, meta: dict |
     def build(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         members = [wire.GraphNode(r.id, list(r.labels), wire.from_json(r.props) if isinstance(r.props, str) else {}) for r in a.sort_values("id").itertuples()]
         links = [wire.GraphEdge(r.src, r.dst, r.type, wire.from_json(r.props) if isinstance(r.props, str) else {}) for r in b.sort_values(["src", "dst"]).itertuples()]
-        return pd.DataFrame({"shard": [key[0]], "content": [wire.encode(wire.Shard(members, links, dict(meta or {})))]})
+        return pd.DataFrame({"shard": [key[0] % n_shards], "content": [wire.encode(wire.Shard(members, links, dict(meta or {})))]})
+
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(build, "shard int, content binary")
 
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(build, "shard int, content binary")
+
+def _shard(b) -> wire.Shard | None:
+    """The shard in a binary, None where it holds another value; what cannot be read is an error, as its rows would be missed."""
+    v = None if b is None else wire.decode(bytes(b))
+    return v if isinstance(v, wire.Shard) else None
 
 
 def shard_counts(content: str | Column) -> Column:
-    """struct<nodes,edges,labels> of shards and batches: how many of each, and the distinct labels; null where a binary is none."""
+    """struct<nodes,edges,labels> of shards: how many of each, and the distinct labels; null where a value is no shard."""
 
     def one(b):
-        try:
-            v = wire.decode(bytes(b))
-        except (WireError, TypeError):
-            return None, None, None
-        if not isinstance(v, wire.Shard):
-            return None, None, None
-        return len(v.nodes), len(v.edges), sorted({x for n in v.nodes for x in n.labels})
+        v = _shard(b)
+        return (None, None, None) if v is None else (len(v.nodes), len(v.edges), sorted({x for n in v.nodes for x in n.labels}))
 
     def run(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(b) for b in column], columns=["nodes", "edges", "labels"])
@@ -426,16 +433,36 @@ def shard_counts(content: str | Column) -> Column:
 
 
 def shard_edges(content: str | Column) -> Column:
-    """An array of struct<src,dst,type> of the edges of shards."""
+    """An array of struct<src,dst,type> of the edges of shards; null where a value is no shard."""
 
     def one(b):
-        try:
-            v = wire.decode(bytes(b))
-        except (WireError, TypeError):
-            return None
-        return [{"src": e.src, "dst": e.dst, "type": e.type} for e in v.edges] if isinstance(v, wire.Shard) else None
+        v = _shard(b)
+        return None if v is None else [{"src": e.src, "dst": e.dst, "type": e.type} for e in v.edges]
 
     def run(column: pd.Series) -> pd.Series:
         return column.map(one)
 
     return F.pandas_udf(run, "array<struct<src:string,dst:string,type:string>>")(content)
+
+
+def shard_contents(shards: DataFrame, content: str = "content") -> DataFrame:
+    """(nodes, edges, labels, links array<struct<src,dst,type>>) of each shard in a column, read one at a time; other values give no row."""
+    fields = "nodes long, edges long, labels array<string>, links array<struct<src:string,dst:string,type:string>>"
+    schema = shards.sparkSession.createDataFrame([], fields).schema
+
+    def rows(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        import pyarrow as pa
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            for b in batch.column(0):
+                v = _shard(b.as_py())
+                if v is not None:
+                    ends = pa.StructArray.from_arrays([pa.array([getattr(e, k) for e in v.edges], pa.string()) for k in ("src", "dst", "type")], ["src", "dst", "type"])
+                    links = pa.ListArray.from_arrays(pa.array([0, len(v.edges)], pa.int32()), ends)
+                    held = [[len(v.nodes)], [len(v.edges)], [sorted({x for n in v.nodes for x in n.labels})]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(held, target, strict=False)), links.cast(target[3].type)], schema=target)
+
+    return shards.select(content).mapInArrow(rows, schema)
