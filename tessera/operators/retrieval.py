@@ -5,8 +5,10 @@ Vectors are array columns and all arithmetic is in doubles, within generated cod
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,32 +33,113 @@ def l2_normalised(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.transform(column, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double"))))
 
 
-#: Bytes of query vectors that one broadcast holds.
-MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of query vectors that one broadcast holds, and scores that a task has at once.
+MAX_BROADCAST_BYTES, MAX_SCORES = 64 << 20, 4_000_000
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """(query, id, score, rank): the k most similar vectors of each query, itself left out, ties by id.
 
-    The stated query set is broadcast against all vectors in blocks of at most ``max_bytes``, one after
-    another where it is larger.  Each block keeps k rows a query and partition before the shuffle.
+    The query set meets all vectors in blocks of at most ``max_bytes``, one after another where it is larger.  Matrix
+    products, whose sums run in another order, tell which vectors can be among a task's k best; these are scored as
+    ``dot`` and ``norm`` score them, and each task sends k rows a query through the shuffle.
     """
+    spark = queries.sparkSession
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("width")).first()
     per_block = max(1, max_bytes // (8 * max(size["width"] or 1, 1) + 64))
     blocks = max(1, -(-size["n"] * 5 // (4 * per_block))) if size["n"] > per_block else 1  # hashed blocks are uneven: a quarter of room
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
-    v = vectors.select(F.col(key).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn"))
-    scale = F.col("_qn") * F.col("_vn")
-    score = F.when(scale > 0, dot(F.col("_q"), F.col("_v")) / scale).otherwise(0.0)
-    order = [F.desc("score"), F.col("id")]
+    q = queries.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("_q"))
+    v = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("_v")).where("_v is not null")
+    fields = [T.StructField("query", q.schema["query"].dataType), T.StructField("id", v.schema["id"].dataType), T.StructField("score", T.DoubleType())]
+    v = v.repartition(4 * spark.sparkContext.defaultParallelism)  # a file or two of narrow rows are many scores
     every = None
     for block in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
-        scored = v.join(F.broadcast(part), (F.size("_v") == F.size("_q")) & (F.col("query") != F.col("id"))).select("query", "id", score.alias("score"))
-        local = scored.withColumn("_part", F.spark_partition_id())
-        local = local.withColumn("_r", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_part")
+        held = spark.sparkContext.broadcast(_by_width(part.where("_q is not null").toArrow()))
+        local = v.mapInArrow(_scorer(held, k), T.StructType(fields))
         every = local if every is None else every.unionByName(local)
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("id"))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _by_width(table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(keys, matrix) of a table of keys and vectors by the vectors' length; nulls within a vector become NaN."""
+    import pyarrow.compute as pc
+
+    widths, out = pc.list_value_length(table.column(1)).to_numpy(), {}
+    for width in np.unique(widths):
+        rows = table.filter(pc.equal(pc.list_value_length(table.column(1)), int(width)))
+        flat = np.concatenate([np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=np.float64) for c in _chunks(rows.column(1))]) if rows.num_rows else np.zeros(0)
+        out[int(width)] = (rows.column(0).to_numpy(), flat.reshape(rows.num_rows, int(width)))
+    return out
+
+
+def _chunks(column) -> list:
+    return column.chunks if hasattr(column, "chunks") else [column]
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products over the last axis, added from the first to the last as ``dot`` does."""
+    total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for i in range(a.shape[-1]):
+        total += a[..., i] * b[..., i]
+    return total
+
+
+def _scorer(held, k: int):
+    """Rows (query, id, score) of the k best vectors of a task for each query of a broadcast block."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        best: dict[int, list[np.ndarray]] = {}  # by width: positions of queries, ids and scores of the best so far
+        lengths = {w: np.sqrt(_folded(m, m)) for w, (_, m) in held.value.items()}
+        for batch in batches:
+            for width, (ids, matrix) in _by_width(pa.Table.from_batches([batch])).items():
+                if width not in held.value:
+                    continue
+                keys, asked = held.value[width]
+                if width not in best:
+                    best[width] = [np.zeros(0, np.int64), ids[:0], np.zeros(0)]
+                length = np.sqrt(_folded(matrix, matrix))
+                step = max(1, MAX_SCORES // max(len(keys), 1))
+                for at in range(0, len(ids), step):
+                    best[width] = _better(best[width], k, keys, asked, lengths[width], ids[at : at + step], matrix[at : at + step], length[at : at + step])
+        for width, (at, ids, scores) in best.items():
+            keys = held.value[width][0]
+            for i in range(0, len(at), 65_536):
+                columns = [keys[at[i : i + 65_536]], ids[i : i + 65_536], scores[i : i + 65_536]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "id", "score"])
+
+    return run
+
+
+def _better(best, k, keys, asked, asked_length, ids, matrix, length):
+    """The best so far and a slice of vectors, down to the k best of each query."""
+    at, known, scores = best
+    scale = asked_length[:, None] * length[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.where(scale > 0, asked @ matrix.T / scale, 0.0)
+    rough[keys[:, None] == ids[None, :]] = -np.inf
+    floor = np.full(len(keys), -np.inf)
+    full = np.bincount(at, minlength=len(keys)) >= k
+    lowest = np.full(len(keys), np.inf)
+    np.minimum.at(lowest, at, scores)
+    floor[full] = lowest[full]
+    if rough.shape[1] > k:
+        floor = np.maximum(floor, np.partition(np.nan_to_num(rough, nan=np.inf), -k, axis=1)[:, -k])
+    # rounding moves a cosine by some 1e-14; NaN, which Spark's order puts first, is always scored
+    row, column = np.nonzero(((rough >= floor[:, None] - 1e-9) & (rough > -np.inf)) | np.isnan(rough))
+    if not len(row):
+        return best
+    across = asked_length[row] * length[column]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        exact = np.where(across > 0, _folded(asked[row], matrix[column]) / across, 0.0)
+    at, known, scores = np.concatenate([at, row]), np.concatenate([known, ids[column]]), np.concatenate([scores, exact])
+    order = np.lexsort((known, np.where(np.isnan(scores), -np.inf, -scores), at))
+    at, known, scores = at[order], known[order], scores[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return [at[kept], known[kept], scores[kept]]
 
 
 def graph_scores(candidates: DataFrame, scores: DataFrame, key: str = "id") -> DataFrame:
