@@ -8,7 +8,7 @@ from tessera.functions import canonical
 from tessera.functions import textcodec as X
 from tessera.operators import text as T
 from tessera.plans.catalogue import query
-from tessera.session import table
+from tessera.session import spread, table
 
 ORDER = X.TypeTable().add("Order", X.Field("id", "int", "k"), X.Field("status", "str", "s"), X.Field("clerk", "str", "c", optional=True), version="1")
 NATION = X.TypeTable().add("Nation", X.Field("key", "int", "k"), X.Field("name", "str", "n"), X.Field("note", "str", optional=True))
@@ -46,7 +46,8 @@ def packed_emit(spark, sf_dir):
     """Dense where every optional field is there, with a bitmap where one is missing."""
     clerk = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority"))
     doc = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), clerk.alias("clerk")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.packed_text(doc, ORDER.types["Order"]).alias("text"))
+    given = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return given.select("o_orderkey", X.packed_text(doc, ORDER.types["Order"]).alias("text"))
 
 
 @query("packed_scan", "SELECT o_orderkey, o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS clerk FROM orders")
@@ -82,7 +83,7 @@ def pooled_documents(spark, sf_dir):
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     slot = F.array_position(F.array(*[F.lit(s) for s in segments]), F.col("c_mktsegment")) - 1
     text = F.concat(F.lit(X.emit_pool("S1", segments) + "\n{id="), F.col("c_custkey").cast("string"), F.lit(" segment=^S1:"), slot.cast("string"), F.lit("}"))
-    back = table(spark, sf_dir, "customer").select("c_custkey", X.text_to_json(text).alias("j"))
+    back = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select("c_custkey", X.text_to_json(text).alias("j"))
     return back.select("c_custkey", F.get_json_object("j", "$.segment").alias("segment"))
 
 
@@ -108,7 +109,7 @@ def structural_patch_apply(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     before = F.concat(F.lit('{"a":{"k":'), k.cast("string"), F.lit(',"old":1},"b":[1]}'))
     after = F.concat(F.lit('{"a":{"k":'), (k + 1).cast("string"), F.lit('},"b":[1,2]}'))
-    back = table(spark, sf_dir, "events").select("event_id", X.patched_json(before, X.difference_text(before, after)).alias("j"))
+    back = spread(table(spark, sf_dir, "events").select("event_id", "props")).select("event_id", X.patched_json(before, X.difference_text(before, after)).alias("j"))
     return back.select("event_id", F.get_json_object("j", "$.a.k").cast("long").alias("k"), F.get_json_object("j", "$.a.old").cast("long").alias("old"), F.get_json_object("j", "$.b[1]").cast("int").alias("second"))
 
 
@@ -138,11 +139,9 @@ def value_bridge(spark, sf_dir):
     from tessera.sources import wire
 
     k = F.get_json_object("props", "$.k")
-    given = table(spark, sf_dir, "events").select("event_id", canonical.canonical_text(F.concat(F.lit('{"k":'), k, F.lit(',"t":"'), "event_type", F.lit('","l":[1.5,null,true]}'))).alias("text"))
-    coded = given.select("event_id", "text", wire.to_wire(X.text_to_json("text")).alias("document"))
-    back = coded.select("event_id", "text", "document", canonical.canonical_text(wire.wire_to_json("document")).alias("again"))
-    same = wire.to_wire(X.text_to_json("again")) == F.col("document")
-    return back.select("event_id", (F.col("again") == F.col("text")).alias("same_text"), same.alias("same_document"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "props", "event_type"))
+    given = F.concat(F.lit('{"k":'), k, F.lit(',"t":"'), "event_type", F.lit('","l":[1.5,null,true]}'))
+    return events.select("event_id", wire.bridged(given).alias("b")).select("event_id", "b.same_text", "b.same_document")
 
 
 @query("crc32_values", """WITH tab AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n)))
