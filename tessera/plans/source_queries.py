@@ -75,8 +75,7 @@ def text_frame_streams(spark, sf_dir):
     closing = last.select("user_id", "event_id", S.text_frame(F.col("user_id"), F.col("event_id"), "ack", F.lit(None).cast("string"), final=F.lit(True)).alias("frame"))
     every = events.select("user_id", "event_id", frame.alias("frame")).unionByName(closing)
     texts = every.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "frame"))), lambda x: x["frame"]), "").alias("text"))
-    read = texts.select("user_id", F.explode(S.text_frames("text")).alias("f"))
-    return read.select("user_id", "f.seq", "f.kind", "f.payload", "f.final")
+    return S.text_frame_rows(texts, "user_id", "text").select("user_id", "seq", "kind", "payload", "final")
 
 
 @query("text_frame_headers", "SELECT event_id, '@frame{v=1 sid=' || user_id || ' seq=' || event_id || ' kind=doc len=' || strlen(event_type) || ' base=sha256:' || sha256(event_type) || '}' AS head FROM events")
@@ -119,12 +118,12 @@ def event_streams(spark, sf_dir):
 
 @query("dataset_nodes", "SELECT c_mktsegment AS dataset, c_custkey AS id, 'Customer' AS label, c_nationkey AS nation, c_custkey % 5 AS ts FROM customer")
 def dataset_nodes(spark, sf_dir):
-    """Node tables in packed containers, one for each segment, read back; a missing time is 0."""
+    """Node tables in packed containers of sixteen sections of a segment, read back; a missing time is 0."""
     c = table(spark, sf_dir, "customer")
     ts = F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 5)
     rows = c.select("c_mktsegment", F.col("c_custkey").alias("id"), F.array(F.lit("Customer")).alias("labels"), ts.alias("ts"), F.to_json(F.struct(F.col("c_nationkey").alias("nation"))).alias("props"))
     bodies = D.section_bodies(rows, "c_mktsegment", "node_table", "customer", "id")
-    made = bodies.groupBy("c_mktsegment").agg(F.collect_list(F.struct("kind", "name", "body")).alias("s"))
+    made = bodies.groupBy("c_mktsegment", F.floor(F.col("part") / 16).alias("file")).agg(F.collect_list(F.struct("kind", "name", "body")).alias("s"))
     files = made.select("c_mktsegment", D.container(D.Dataset("customers"), F.col("s"), packed=True).alias("b"))
     sections = files.select(F.col("c_mktsegment"), F.explode(D.container_sections("b")).alias("s")).select(F.col("c_mktsegment").alias("name"), "s.kind", "s.body")
     read = D.section_rows(sections, "node_table")

@@ -290,17 +290,22 @@ def section_rows(sections: DataFrame, kind: str, body: str = "body") -> DataFram
         target = to_arrow_schema(schema)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = read(content.as_py())
+                found = read(content.as_py())  # a section is bounded by its writer
                 for at in range(0, len(found), 4096):
                     yield pa.RecordBatch.from_pylist([{"name": name, **r} for r in found[at : at + 4096]], schema=target)
 
     return given.mapInArrow(rows, schema)
 
 
+#: Rows of a section of nodes, edges or features, about: larger ones are several sections of one name.
+SECTION_ROWS = 50_000
+
+
 def section_bodies(df: DataFrame, key: str, kind: str, name: str, order: str, **options) -> DataFrame:
-    """(key, kind, name, body): the rows of each key as one section, built where they meet.
+    """(key, kind, name, body, part): the rows of each key as sections, built where they meet.
 
     Node tables take id, labels, ts, props; edge tables src, dst, ts, weight, props; features id and values; splits part and id.
+    Keys of more than ``SECTION_ROWS`` rows have several sections, each of which stands for itself; a split stays one.
     """
     writers = {
         "node_table": lambda rows: node_section(name, rows),
@@ -311,15 +316,18 @@ def section_bodies(df: DataFrame, key: str, kind: str, name: str, order: str, **
     write = writers[kind]
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: v for k, v in r.items() if not (v is None or (isinstance(v, float) and v != v))} for r in group.sort_values(order).to_dict("records")]
+        rows = [{k: v for k, v in r.items() if k != "_part" and not (v is None or (isinstance(v, float) and v != v))} for r in group.sort_values(order).to_dict("records")]
         for r in rows:
             if "labels" in r:
                 r["labels"] = list(r["labels"])
             if isinstance(r.get("props"), str):
                 r["props"] = json.loads(r["props"])
-        return pd.DataFrame({key: [group[key].iloc[0]], "kind": [kind], "name": [name], "body": [write(rows).body]})
+        return pd.DataFrame({key: [group[key].iloc[0]], "kind": [kind], "name": [name], "body": [write(rows).body], "part": [int(group["_part"].iloc[0])]})
 
-    return df.groupBy(key).applyInPandas(build, f"`{key}` {df.schema[key].dataType.simpleString()}, kind string, name string, body binary")
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SECTION_ROWS).alias("_parts"))
+    placed = df.join(sizes.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")))
+    dealt = placed.select(*df.columns, (F.lit(0) if kind == "split" else F.pmod(F.xxhash64(*df.columns), F.col("_parts"))).cast("long").alias("_part"))
+    return dealt.groupBy(key, "_part").applyInPandas(build, f"`{key}` {df.schema[key].dataType.simpleString()}, kind string, name string, body binary, part long")
 
 
 def container(meta: Dataset, sections: Column, minor: bool = True, packed: bool = False) -> Column:
